@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("token_output", "decontaminate")
+_MODULES = ("token_output", "decontaminate", "jaccard_join")
 
 
 def _all(attribute: str) -> dict:
