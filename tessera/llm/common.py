@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: A working table is broadcast only while its files hold at most this many bytes.
 BROADCAST_BYTES = 24 << 20
 #: Batches are cut into pieces of about this many text bytes before numpy touches them.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 @functools.lru_cache(maxsize=8)
@@ -67,11 +68,29 @@ class Table:
         return F.broadcast(self.df) if self.bytes <= BROADCAST_BYTES else self.df
 
 
-def stash(df: DataFrame, name: str = "t") -> Table:
+#: While a working table is written, Python workers get batches of at most so many rows and bytes.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Bounded memory for Python workers: whole texts come in small batches; the session's settings return after."""
+    before = {k: spark.conf.get(k, None) for k in _BATCHES}
+    try:
+        for k, v in _BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stash(df: DataFrame, name: str = "t", path: str | None = None, compression: str = "zstd") -> Table:
     """Write df to the shared folder and cut its lineage there; survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or f"{work_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
+    with small_batches(spark):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
     return Table(spark, path, df.schema)
 
 

@@ -217,6 +217,7 @@ def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep=
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[2:])
         part = out.mapInArrow(_kernel(held, window), f"{fields}, n_words long, n_hit long, longest long, spans array<int>, items array<string>")
         total = part if total is None else total.unionByName(part)
+    total = stash(total, "matched").df
     if one:
         return total
     # Further shards: the rows of one document meet again, few and short.

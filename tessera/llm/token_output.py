@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, pieces, stash, text_column, work_dir
+from .common import Table, stash, text_column, work_dir
 
 #: Fixed values of the format: ids per word and bits per id for selectors 0-14.
 COUNT = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -197,8 +197,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, text
         if got:
             yield flush()
 
-    ordered.mapInArrow(kernel, _BLOCKS).write.mode("overwrite").option("compression", "none").parquet(path)
-    return Table(spark, path, spark.createDataFrame([], _BLOCKS).schema)
+    return stash(ordered.mapInArrow(kernel, _BLOCKS), path=path, compression="none")
 
 
 def read_tokens(files: Table) -> DataFrame:
@@ -226,7 +225,7 @@ def read_tokens(files: Table) -> DataFrame:
                     }
                 )
 
-    docs = blocks.mapInArrow(kernel, "part int, block int, ordinal int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = stash(blocks.mapInArrow(kernel, "part int, block int, ordinal int, doc_id long, inner long, n_tokens long, ids_crc32 long"), "read").df
     return docs.join(at, ["part", "block"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "part", "block", "ordinal")
 
 
