@@ -16,6 +16,7 @@ whole stream are prefix sums over parts and blocks.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, stash, text_column, work_dir
+from .common import Table, pieces, stash, text_column, work_dir
 
 #: Fixed values of the format: ids per word and bits per id for selectors 0-14.
 COUNT = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 WIDTH = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
-CACHE_PIECES = 400_000
+#: Distinct pieces that a worker keeps with their ids before it starts anew.
+CACHE_PIECES = 250_000
 
 _BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<bigint>, ends binary, selectors binary, words binary"
 
@@ -95,54 +97,155 @@ def unpack(sel: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def encoder(raw: str):
-    """text -> little-endian uint32 bytes of its ids, by the tokenizers library (raw: its JSON file's text).
-
-    Where the file is a byte-level BPE without normaliser, prefix space or stripping added tokens,
-    a single space between two non-space characters always starts a new pre-token; texts are cut
-    there and the library's ids of each distinct piece are kept, which gives the ids of the whole
-    text. Any other file, or text with other white space runs, goes to the library whole or in such cuts.
-    """
-    import json
-    import re
-
-    from tokenizers import Tokenizer
-
-    tok, conf = Tokenizer.from_str(raw), json.loads(raw)
-    pre = conf.get("pre_tokenizer") or {}
-    added = conf.get("added_tokens") or []
-    cuts = (
+def _cut_safe(conf: dict) -> bool:
+    """Whether the file's pre-tokens are those of byte-level BPE alone, so that texts can be cut between them."""
+    pre, added = conf.get("pre_tokenizer") or {}, conf.get("added_tokens") or []
+    return (
         conf.get("normalizer") is None
         and pre.get("type") == "ByteLevel"
         and not pre.get("add_prefix_space")
         and pre.get("use_regex", True)
         and conf.get("post_processor") is None
-        and all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         and (conf.get("truncation"), conf.get("padding")) == (None, None)
     )
 
-    def whole(text):
-        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    if not cuts:
-        return whole
-    runs = re.compile(r"\s\s|\A\s|\s\Z").search
-    cut = re.compile(r"(?<=\S) (?=\S)").split
-    known: dict[str, bytes] = {}
+class Encoder:
+    """Token ids of texts by the tokenizers library (raw: its JSON file's text), each distinct piece once.
 
-    def encode(text):
-        parts = cut(text) if runs(text) else text.split(" ")
-        head, parts = parts[0], [" " + p for p in parts[1:]]
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return (whole(head) if head else b"") + b"".join(map(known.__getitem__, parts))
+    Where the file is plain byte-level BPE, a pre-token starts at a single space between two characters
+    that are no white space, at what follows a letter and is none, and at what follows a single line feed
+    between two such characters. Texts are cut there, distinct pieces go to the library, and their ids
+    are put together again: the ids of the whole text. Texts with an added token's string, and all texts
+    under any other file, go to the library whole.
+    """
 
-    return encode
+    def __init__(self, raw: str):
+        import json
+
+        from tokenizers import Tokenizer
+
+        conf = json.loads(raw)
+        self.tok = Tokenizer.from_str(raw)
+        self.cuts = _cut_safe(conf)
+        self.added = [t["content"].encode() for t in conf.get("added_tokens") or []]
+        ascii_letter = np.zeros(256, bool)
+        ascii_letter[0x41:0x5B] = ascii_letter[0x61:0x7B] = True
+        self.letter = ascii_letter
+        self.plain = np.zeros(256, bool)  # ASCII, neither white space nor control
+        self.plain[0x21:0x7F] = True
+        self.lead = np.zeros(256, bool)  # of two bytes, U+00C0 to U+07FF: no white space there
+        self.lead[0xC3:0xE0] = True
+        self.clear()
+
+    def clear(self):
+        self.known: dict[int, int] = {}
+        self.n = self.used = 0
+        #: Per piece: its hash, where its ids start in the store, how many, and in how many calls it came.
+        self.key, self.at, self.size, self.calls = (np.zeros(1 << 12, t) for t in (np.uint64, np.int64, np.int64, np.int32))
+        self.store = np.zeros(1 << 14, np.uint32)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
+    def _keep(self, key, size, flat):
+        """Append pieces with their ids."""
+        n, m = self.n + len(key), self.used + len(flat)
+        self.key, self.at, self.size, self.calls = (self._room(a, n) for a in (self.key, self.at, self.size, self.calls))
+        self.store = self._room(self.store, m)
+        self.key[self.n : n], self.size[self.n : n] = key, size
+        self.at[self.n : n] = self.used + np.cumsum(size) - size
+        self.store[self.used : m] = flat
+        self.known.update(zip(key.tolist(), range(self.n, n)))
+        self.n, self.used = n, m
+
+    def _evict(self):
+        """Drop pieces that came in one call only; all of them where that leaves too many."""
+        old = np.flatnonzero(self.calls[: self.n] > 1)
+        key, size, at, store = self.key[old], self.size[old], self.at[old], self.store
+        self.clear()
+        if len(key) <= CACHE_PIECES // 2 and len(key):
+            total = np.cumsum(size)
+            self._keep(key, size, store[np.arange(total[-1]) - np.repeat(total - size - at, size)])
+
+    def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Ascending byte positions at which pieces start, those of documents included."""
+        first = off[:-1][off[:-1] < off[1:]]
+        if not self.cuts or len(data) < 3:
+            return first
+        inner = (data & 0xC0) == 0x80
+        before = self.plain[data]  # at i: the character that ends in byte i is surely no white space
+        before[1:] |= inner[1:] & self.lead[data[:-1]]
+        after = self.plain[data] | self.lead[data]
+        letter = self.letter[data]
+        accent = inner.copy()  # U+00C0 to U+00FF but the two signs among them
+        accent[0] = False
+        accent[1:] &= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut = np.zeros(len(data), bool)
+        space = data == 0x20
+        cut[1:-1] = space[1:-1] & before[:-2] & after[2:]
+        cut[1:] |= (letter | accent)[:-1] & self.plain[data[1:]] & ~letter[1:]
+        cut[2:] |= (data[1:-1] == 0x0A) & before[:-2] & after[2:]
+        # What stands around a document's bounds is another document's.
+        for edge in (first, first + 1):
+            cut[edge[edge < len(data)]] = False
+        last = off[1:][off[:-1] < off[1:]] - 1
+        cut[last[space[last]]] = False
+        if self.added:
+            raw = data.tobytes()
+            for content in self.added:
+                i = raw.find(content)
+                while i >= 0:
+                    d = int(np.searchsorted(off, i, side="right")) - 1
+                    cut[off[d] : off[d + 1]] = False
+                    i = raw.find(content, int(off[d + 1]))
+        cut[first] = True
+        return np.flatnonzero(cut)
+
+    def __call__(self, arr) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has) of an Arrow string array."""
+        from .kernels import buffers, word_hashes
+
+        data, off = buffers(arr)
+        if self.n > CACHE_PIECES or self.used > 8 * CACHE_PIECES:
+            self._evict()
+        starts = self.starts(data, off)
+        if len(starts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(arr), np.int64)
+        ends = np.append(starts[1:], len(data))
+        h, one, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = h.tolist()
+        place = list(map(self.known.get, keys))
+        new = [i for i, p in enumerate(place) if p is None]
+        if new:
+            raw = data.tobytes()
+            s, e = starts[one[new]].tolist(), ends[one[new]].tolist()
+            coded = [x.ids for x in self.tok.encode_batch_fast([raw[i:j].decode() for i, j in zip(s, e)], add_special_tokens=False)]
+            for k, i in enumerate(new):
+                place[i] = self.n + k
+            size = np.array([len(c) for c in coded], np.int64)
+            self._keep(h[new], size, np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum())))
+        place = np.array(place, np.int64)
+        self.calls[place] += 1
+        where = place[back]
+        n = self.size[where]
+        total = np.cumsum(n)
+        ids = self.store[np.arange(total[-1]) - np.repeat(total - n - self.at[where], n)]
+        bounds = np.concatenate([[0], total])[np.searchsorted(starts, off)]
+        return ids, np.diff(bounds)
+
+
+def _worker_encoder(raw: str) -> Encoder:
+    """This worker's encoder. Functions travel by value, so what a worker keeps between tasks hangs on a module of its own."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
+    if getattr(kept, "tokenizer", None) != (key := hash(raw)):
+        kept.tokenizer, kept.encoder = key, Encoder(raw)
+    return kept.encoder
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None, tokenizer_json: str | None = None) -> Table:
@@ -169,31 +272,34 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, text
         ids, ends, got, total, block = [], [], [], 0, 0
 
         def flush():
-            nonlocal ids, ends, got, total, block
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             sel, packed = pack(flat)
-            row = pa.RecordBatch.from_pydict(
+            return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "n_docs": pa.array([len(got)], pa.int32()),
                     "doc_ids": pa.array([got], pa.list_(pa.int64())), "ends": pa.array([np.array(ends, "<u4").tobytes()], pa.binary()),
                     "selectors": pa.array([sel.tobytes()], pa.binary()), "words": pa.array([packed.astype("<u8").tobytes()], pa.binary()),
                 }
             )
-            ids, ends, got, total, block = [], [], [], 0, block + 1
-            return row
 
-        tail = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            if encode is None:
-                encode = encoder(held.value)
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                coded = encode(t) + tail
-                ids.append(coded)
-                total += len(coded) // 4
-                ends.append(total)
-                got.append(d)
+        for b in pieces(batches):
+            encode = encode or _worker_encoder(held.value)
+            flat, sizes = encode(b.column(1))
+            flat = np.insert(flat, np.cumsum(sizes), end_id)
+            at = np.concatenate([[0], np.cumsum(sizes + 1)])
+            # Blocks end with the document that fills them.
+            i, docs = 0, b.column(0).to_pylist()
+            while i < len(docs):
+                j = min(len(docs), int(np.searchsorted(at, at[i] + BLOCK_IDS - total)))
+                j = max(j, i + 1)
+                ids.append(flat[at[i] : at[j]])
+                ends.extend((total + at[i + 1 : j + 1] - at[i]).tolist())
+                got.extend(docs[i:j])
+                total += int(at[j] - at[i])
+                i = j
                 if total >= BLOCK_IDS:
                     yield flush()
+                    ids, ends, got, total, block = [], [], [], 0, block + 1
         if got:
             yield flush()
 

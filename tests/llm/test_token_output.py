@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from tessera.llm.token_output import default_tokenizer, encoder, pack, token_table, unpack
+from tessera.llm.token_output import Encoder, default_tokenizer, pack, token_table, unpack
 
 SCHEMA = "doc_id long, text string, part string, words int"
 
@@ -18,23 +20,33 @@ def test_pack_round_trip(ids):
     assert unpack(sel, words).tolist() == ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab é\n\t .,'  $12<|>endoftx")), max_size=60))
-def test_cut_encoding_is_the_library_s(text):
-    from tokenizers import Tokenizer
+CHARS = list("abst é×\n\n\t .,'  $12\u00a0\u0085\u2003ñßЖ中\x1c") + ["<|endoftext|>", "'s", " the", "don't", ".\n"]
+TOK = Tokenizer.from_file(default_tokenizer())
+ENCODE = Encoder(open(default_tokenizer(), encoding="utf-8").read())
 
-    tok = Tokenizer.from_file(default_tokenizer())
-    got = np.frombuffer(ENCODE(text), "<u4").tolist()
-    assert got == tok.encode(text, add_special_tokens=False).ids
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(CHARS), max_size=25).map("".join), max_size=6))
+def test_cut_encoding_is_the_library_s(texts):
+    ids, sizes = ENCODE(pa.array(texts, pa.string()))
+    want = [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [v for w in want for v in w]
 
-ENCODE = encoder(open(default_tokenizer(), encoding="utf-8").read())
 
+def test_eviction_keeps_the_ids(monkeypatch):
+    import tessera.llm.token_output as module
+
+    monkeypatch.setattr(module, "CACHE_PIECES", 20)
+    encode = Encoder(open(default_tokenizer(), encoding="utf-8").read())
+    for i in range(40):
+        texts = [f"word{j} common thing{j}, {i} end" for j in range(i % 7 * 3)]
+        ids, _ = encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == [v for t in texts for v in TOK.encode(t, add_special_tokens=False).ids]
 
-def brute(rows):
-    from tokenizers import Tokenizer
 
-    tok, at, out = Tokenizer.from_file(default_tokenizer()), 0, []
+def brute(rows):
+    tok, at, out = TOK, 0, []
     for d, t in rows:
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         out.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
