@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("token_output", "decontaminate", "jaccard_join", "substring_dedup", "quality_rules", "mixing")
+_MODULES = ("token_output", "decontaminate", "jaccard_join", "substring_dedup", "quality_rules", "mixing", "language_id")
 
 
 def _all(attribute: str) -> dict:
