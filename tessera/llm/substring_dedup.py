@@ -149,7 +149,7 @@ class Repeats:
     def repeated(self) -> DataFrame:
         """(doc_id, seq, pos, win, lo): each start of a repeated window."""
         each = self.level.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win")
-        return each.join(self.found.small(), "win")
+        return each.join(self.found.df, "win")
 
     def removals(self) -> Table:
         """(doc_id, verdicts): per doc_id with something to remove, its texts (seq) and window starts to remove (null: all)."""
@@ -164,7 +164,7 @@ class Repeats:
         length, now, out, turn = self.window, self.level, None, 0
         found = self.found
         while found.rows and (max_levels is None or turn <= max_levels):
-            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.small(), "win")
+            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.df, "win")
             alive = stash(each.distinct().groupBy("doc_id", "seq").agg(F.collect_list(F.struct("pos", "win")).alias("z")).select("doc_id", "seq", F.col("z.pos").alias("pos"), F.col("z.win").alias("win")), "alive")
             reach = alive.df.select("doc_id", F.lit(length).alias("longest"))
             out = reach if out is None else out.unionByName(reach)
