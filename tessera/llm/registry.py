@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("token_output", "decontaminate", "jaccard_join", "substring_dedup", "quality_rules", "mixing", "language_id", "line_dedup")
+_MODULES = ("token_output", "decontaminate", "jaccard_join", "substring_dedup", "quality_rules", "mixing", "language_id", "line_dedup", "pii")
 
 
 def _all(attribute: str) -> dict:
