@@ -8,12 +8,11 @@ not empty, is one window) ends at a word whose matched length reaches the window
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces, stash, text_column
 from .kernels import alnum_table, buffers, lower_table, word_hashes, words
@@ -189,8 +188,8 @@ def _kernel(held, window: int):
     return run
 
 
-def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep=(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per row of df: doc_id, `keep` columns, n_words, n_hit, longest match, spans (flat start, end word
+def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Per row of df: doc_id, df's columns as the struct _carry if asked, n_words, n_hit, longest match, spans (flat start, end word
     pairs) and the ids of items with occurring windows.
 
     Null texts and items have no words; items of null id are left out; two items of one id count once.
@@ -200,7 +199,7 @@ def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep=
     spark = df.sparkSession
     out = None
     shards = list(_shards(benchmark, item_id, item_text, shard_words))
-    out = df.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), text_column(df, text).alias("_t"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(c if c != "doc_id" else "doc_id_") for c in keep])
+    out = df.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), text_column(df, text).alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_carry")] if carry else []))
     one = len(shards) == 1
     if not one:
         out = out.withColumn("_row", F.monotonically_increasing_id())
@@ -214,8 +213,8 @@ def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep=
         # Several rows may share an id: automaton items become id numbers.
         auto.whole = {s: frozenset(place[shard[k][0]] for k in v) for s, v in auto.whole.items()}
         held = spark.sparkContext.broadcast((vocab, auto, names))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[2:])
-        part = out.mapInArrow(_kernel(held, window), f"{fields}, n_words long, n_hit long, longest long, spans array<int>, items array<string>")
+        found = T.StructType.fromDDL("n_words long, n_hit long, longest long, spans array<int>, items array<string>")
+        part = out.mapInArrow(_kernel(held, window), T.StructType(out.schema.fields[2:] + found.fields))
         total = part if total is None else total.unionByName(part)
     total = stash(total, "matched").df
     if one:

@@ -261,9 +261,10 @@ def identify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
     Nulls in any column are fine; repeated rows count as often as they come; an empty table gives an empty one.
     """
-    rows = df.withColumn("_out", held_out(F.col(f"`{doc_id}`"))) if "_out" not in df.columns else df.drop("_out").withColumn("_out", held_out(F.col(f"`{doc_id}`")))
-    model = train(rows.filter(~F.col("_out")), lang, text)
-    return predict(rows, model, keep=(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col("_out").alias("held_out")), text=text)
+    col = lambda c: F.col(f"`{c}`") if c in df.columns else F.lit(None)
+    rows = df.select(col(doc_id).cast("long").alias("doc_id"), text_column(df, text).alias("text"), col(lang).cast("string").alias("lang"), held_out(col(doc_id)).alias("held_out"))
+    model = train(rows.filter("not held_out"))
+    return predict(rows, model, keep=("doc_id", "held_out"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

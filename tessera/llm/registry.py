@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("token_output", "decontaminate", "jaccard_join", "substring_dedup", "quality_rules", "mixing", "language_id", "line_dedup", "pii")
+_MODULES = ("token_output", "decontaminate", "jaccard_join", "substring_dedup", "quality_rules", "mixing", "language_id", "line_dedup", "pii", "weak_labels")
 
 
 def _all(attribute: str) -> dict:
@@ -15,8 +15,12 @@ def _all(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    import corpus_pipeline
+
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLES")
+    import corpus_pipeline
+
+    return _all("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
