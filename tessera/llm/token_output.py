@@ -33,7 +33,7 @@ WIDTH = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
 #: Distinct pieces that a worker keeps with their ids before it starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 700_000
 
 _BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<bigint>, ends binary, selectors binary, words binary"
 
@@ -232,7 +232,12 @@ class Encoder:
         where = place[back]
         n = self.size[where]
         total = np.cumsum(n)
-        ids = self.store[np.arange(total[-1]) - np.repeat(total - n - self.at[where], n)]
+        # Where each id stands in the store: steps of one, with a jump at the start of each piece.
+        at = np.ones(total[-1], np.int32)
+        first = self.at[where]
+        at[0] = first[0]
+        at[total[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
+        ids = self.store[np.cumsum(at, dtype=np.int32)]
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, off)]
         return ids, np.diff(bounds)
 
