@@ -516,7 +516,7 @@ class Grouped:
             return fn(v)
 
         run.__annotations__ = {"v": pd.Series, "return": float}
-        return self.frame._fresh(self.frame.df.groupBy(*self.names).agg(F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)(column).alias(name)), *self.names)
+        return self.frame._fresh(self.frame.df.groupBy(*self.names).agg(F.pandas_udf(run, kind)(column).alias(name)), *self.names)
 
     def n_groups(self) -> int:
         """Runs a job."""

@@ -131,11 +131,11 @@ def rolling_variance(c, w, window, min_periods, ddof, center) -> Column:
 def apply_udf(fn):
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
+    def run(values):
         return values.map(lambda v: None if v is None else fn(list(v)))
 
-    return run
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")
 
 
 def alpha_from_span(span: float) -> float:

@@ -44,8 +44,8 @@ class SqlContext:
             def named(m):
                 name = m[2].lower()
                 if name in self.tables:
-                    used[name] = self.tables[name]
-                    return f"{m[1]}{{{name}}} AS {m[2]}" if not m[3] else f"{m[1]}{{{name}}}{m[3]}"
+                    used[f"t_{name}"] = self.tables[name]
+                    return f"{m[1]}{{t_{name}}} AS {m[2]}" if not m[3] else f"{m[1]}{{t_{name}}}{m[3]}"
                 return m[0]
 
             text = parts[i].replace("{", "{{").replace("}", "}}")

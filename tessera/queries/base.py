@@ -1,4 +1,4 @@
-"""Registered queries and, where DuckDB can express them, their twins."""
+"""The registry of queries and, where DuckDB can express them, their twins."""
 
 from __future__ import annotations
 
@@ -24,6 +24,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frame(spark, sf_dir, name, *order):
+    """The table as a frame in the order of the named columns."""
+    from tessera.operators.frame import Frame
+
+    return Frame(table(spark, sf_dir, name), list(order) or None)
+
+
 @query(
     "q1_pricing_summary",
     """SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 4) AS sum_qty,
