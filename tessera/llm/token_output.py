@@ -233,10 +233,12 @@ class Encoder:
         n = self.size[where]
         total = np.cumsum(n)
         # Where each id stands in the store: steps of one, with a jump at the start of each piece.
+        some = n > 0
+        first, size, stop = self.at[where[some]], n[some], total[some]
         at = np.ones(total[-1], np.int32)
-        first = self.at[where]
-        at[0] = first[0]
-        at[total[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
+        if len(first):
+            at[0] = first[0]
+            at[stop[:-1]] = first[1:] - (first[:-1] + size[:-1] - 1)
         ids = self.store[np.cumsum(at, dtype=np.int32)]
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, off)]
         return ids, np.diff(bounds)

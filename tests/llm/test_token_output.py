@@ -74,3 +74,14 @@ def test_partitions_do_not_matter(spark, n):
     rows = [(i, f"text {i} " * (i % 13)) for i in range(300)]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(n)
     assert sorted(map(tuple, token_table(df).collect()), key=lambda r: r[1]) == brute(rows)
+
+
+def test_other_tokenizer_whole_texts():
+    import public_tokenizers
+
+    raw = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    tok, encode = Tokenizer.from_str(raw), Encoder(raw)
+    texts = ["   ", "Some words, here", "", "  ", "again words"]
+    ids, sizes = encode(pa.array(texts, pa.string()))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [v for w in want for v in w]
