@@ -35,9 +35,34 @@ def _is_star_forest(e: DataFrame) -> bool:
     return bad.filter((F.col("lo") != F.col("hi")) | (F.col("lo") >= F.col("n")) | (F.col("lo").isNotNull() & (F.col("up") > 0))).isEmpty()
 
 
+#: Edge tables of up to so many bytes on disk may be solved in one task.
+ONE_TASK_BYTES = 4 << 20
+
+
+def _one_task(batches):
+    """Union-find over all edges of a bounded table."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["node", "root"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> Table:
     """edges (a long, b long), either way round, repeats and loops allowed -> Table(node, root), root the
-    smallest node of the component; nodes without edges are left out."""
+    smallest node of the component; nodes without edges are left out. DataFrame operations only."""
     now = stash(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
         if _is_star_forest(now.df):
@@ -52,3 +77,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> Table:
     out = stash(now.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.df.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "roots")
     now.drop()
     return out
+
+
+def components_of(tables: list[Table]) -> Table:
+    """components of several written edge tables; while they are small by their measured size, in one task."""
+    edges = tables[0].df
+    for t in tables[1:]:
+        edges = edges.unionByName(t.df)
+    if sum(t.bytes for t in tables) <= ONE_TASK_BYTES:
+        return stash(edges.filter("a <> b").coalesce(1).mapInArrow(_one_task, "node long, root long"), "roots")
+    return components(edges)
