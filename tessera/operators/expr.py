@@ -58,6 +58,16 @@ class Expr:
     aggregate: bool = False
     descending: bool | None = None
     source: str | None = field(default=None, compare=False)
+    #: For filters: (the `lower` that this is about, conjuncts, a form that readers can push down or None).
+    logic: tuple | None = field(default=None, compare=False)
+
+    def conditions(self, scope: Scope) -> list[Column]:
+        """As a filter: conditions that all must hold. A null drops a row either way, so conjunctions come apart
+        and comparisons of floats need no branches; both then reach the files."""
+        if self.logic and self.logic[0] is self.lower:
+            _, parts, plain = self.logic
+            return [c for p in parts for c in p.conditions(scope)] if parts else plain(scope)
+        return [self.lower(scope)]
 
     # -- building blocks -------------------------------------------------------------------------
     def _map(self, fn, kind=None, **more) -> Expr:
@@ -138,7 +148,17 @@ class Expr:
     # -- comparison and logic (rows 57-68) -------------------------------------------------------
     def _compare(self, o, op):
         o = wrap(o)
-        return self._pair(o, lambda a, b, s: S.compare(a, b, op, S.is_floating(_type_of(self, s)) or S.is_floating(_type_of(o, s))), lambda s: T.BooleanType())
+
+        def floating(s):
+            return S.is_floating(_type_of(self, s)) or S.is_floating(_type_of(o, s))
+
+        def plain(s):
+            a, b = self.lower(s), o.lower(s)
+            holds = S.compare(a, b, op)
+            return [holds, *[~F.isnan(c) for c, e in ((a, self), (b, o)) if S.is_floating(_type_of(e, s))]]
+
+        out = self._pair(o, lambda a, b, s: S.compare(a, b, op, floating(s)), lambda s: T.BooleanType())
+        return replace(out, logic=(out.lower, (), plain))
 
     def eq(self, o):
         return self._pair(o, lambda a, b, s: S.eq(a, b), lambda s: T.BooleanType())
@@ -169,7 +189,9 @@ class Expr:
     lt, le, gt, ge = __lt__, __le__, __gt__, __ge__
 
     def __and__(self, o):
-        return self._pair(o, lambda a, b, s: S.strict_and(a, b), lambda s: T.BooleanType())
+        o = wrap(o)
+        out = self._pair(o, lambda a, b, s: S.strict_and(a, b), lambda s: T.BooleanType())
+        return replace(out, logic=(out.lower, (self, o), None))
 
     def __or__(self, o):
         return self._pair(o, lambda a, b, s: S.strict_or(a, b), lambda s: T.BooleanType())
@@ -435,7 +457,7 @@ class Expr:
         return self._ordered(lambda c, w: win.ewm_var(c, w, alpha, adjust, ignore_nulls, min_periods, bias))
 
     def ewm_std(self, alpha, adjust=True, ignore_nulls=True, min_periods=2, bias=False):
-        return self.ewm_var(alpha, adjust, ignore_nulls, min_periods, bias)._map(lambda c: F.sqrt(F.greatest(c, F.lit(0.0))), lambda s: T.DoubleType())
+        return self.ewm_var(alpha, adjust, ignore_nulls, min_periods, bias)._map(lambda c: F.when(c > 0, F.sqrt(c)).when(c.isNotNull(), F.lit(0.0)), lambda s: T.DoubleType())
 
     # -- math ----------------------------------------------------------------------------------------
     def abs(self):
@@ -525,7 +547,7 @@ class Then(Expr):
             return c if other is None else c.otherwise(other.lower(s))
 
         first = branches[0][1]
-        for k, v in {"lower": lower, "name": first.name, "kind": first.kind, "aggregate": any(v.aggregate for _, v in branches), "descending": None, "source": None, "_branches": branches}.items():
+        for k, v in {"lower": lower, "name": first.name, "kind": first.kind, "aggregate": any(v.aggregate for _, v in branches), "descending": None, "source": None, "logic": None, "_branches": branches}.items():
             object.__setattr__(self, k, v)
 
     def when(self, condition: Expr) -> When:

@@ -221,8 +221,12 @@ class Frame:
     # -- rows (rows 55-56, 154-169) -------------------------------------------------------------------
     def filter(self, predicate: Expr) -> Frame:
         """Rows for which it holds; null drops the row."""
-        df, (c,), temps = self._lower([predicate.alias(None)])
-        return self._with(df.filter(c).drop(*temps))
+        scope = self._scope()
+        conditions = predicate.conditions(scope)
+        df = self._df.withColumns(scope.temps) if scope.temps else self._df
+        for c in conditions:
+            df = df.filter(c)
+        return self._with(df.drop(*scope.temps) if scope.temps else df)
 
     def sort(self, *keys, descending: bool | list[bool] = False, nulls_last: bool = True) -> Frame:
         """By columns or expressions, ties in the order before; that is the order from then on."""
