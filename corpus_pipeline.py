@@ -1,15 +1,18 @@
 """The corpus pipeline: quality rules, near-duplicate removal, decontamination, source mixing, token output.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the
-shared folder and gives it to the next stage. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, to be written as Parquet and read again as
+the next one's docs; run() does so in the shared folder. All but the last return the columns of
+documents. A stage's working tables go when the next stage starts, so stages run one after another.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
+from tessera.llm.common import stash, tracked
 from tessera.llm.decontaminate import contaminated, match_items
 from tessera.llm.jaccard_join import drop_near_copies
 from tessera.llm.mixing import mix_documents
@@ -17,11 +20,32 @@ from tessera.llm.quality_rules import filter_documents
 from tessera.llm.token_output import token_table
 
 
+#: Working tables of the stage before, by session: read no more once its result is written.
+_BEFORE: dict[int, list] = {}
+
+
+def stage(fn):
+    """A stage that first drops the working tables of the one before."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for t in _BEFORE.pop(id(spark), []):
+            t.drop()
+        with tracked() as made:
+            out = fn(spark, docs, sf_dir)
+        _BEFORE[id(spark)] = made
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are robust outliers of their language and source go."""
     return filter_documents(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each connected group of near copies stays: the one of smallest doc_id.
 
@@ -30,17 +54,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_copies(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go: those of which hit words are five in a hundred or more."""
     found = match_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.filter(~F.coalesce(contaminated(F.col("n_hit"), F.col("n_words")), F.lit(False))).select("_carry.*")
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix to target weights says."""
     return mix_documents(docs)
 
 
+@stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
     return token_table(docs)
@@ -57,8 +84,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "_")).df
+    before = None
+    for name, step in STAGES[:-1]:
+        now = stash(step(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

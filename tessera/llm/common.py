@@ -34,6 +34,21 @@ def work_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_work"
 
 
+#: Lists that collect the tables written while they are open (see `tracked`).
+_OPEN: list[list] = []
+
+
+@contextlib.contextmanager
+def tracked():
+    """The working tables written inside, so that their maker can drop those no longer needed."""
+    made: list[Table] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+
+
 class Table:
     """A written working table: `df` reads it, `bytes` is its size on disk, `drop()` removes it."""
 
@@ -91,7 +106,10 @@ def stash(df: DataFrame, name: str = "t", path: str | None = None, compression:
     path = path or f"{work_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
     with small_batches(spark):
         df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return Table(spark, path, df.schema)
+    out = Table(spark, path, df.schema)
+    for made in _OPEN:
+        made.append(out)
+    return out
 
 
 def free_shuffles(spark: SparkSession) -> None:

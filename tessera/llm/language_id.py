@@ -119,12 +119,12 @@ class Model:
         self.langs = sorted(counts)
         trees = [self._tree(*counts[k], max_contexts) for k in self.langs]
         # States: per depth, all contexts of any language; the root is state 0.
-        self.contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([t[d][0] for t in trees])) for d in range(1, order + 1)]
+        self.contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([np.zeros(0, np.int64), *[t[d][0] for t in trees]])) for d in range(1, order + 1)]
         base = np.cumsum([0] + [len(c) for c in self.contexts])
         cost = np.empty((base[-1], n_sym, len(self.langs)), np.float32)
         for k, tree in enumerate(trees):
             self._fill(cost[:, :, k], tree, base)
-        self.cost = cost.reshape(-1, len(self.langs))
+        self.cost = cost.reshape(base[-1] * n_sym, len(self.langs))
         # Transition: the state of the longest suffix of the last symbols, dense in all of them but the oldest.
         self.goto = np.zeros(n_sym**order, np.int32) if order else np.zeros(1, np.int32)
         for d in range(1, order + 1):

@@ -17,15 +17,22 @@ whole stream are prefix sums over parts and blocks.
 from __future__ import annotations
 
 import itertools
+import json
+import os
+import sys
+import types
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Table, pieces, stash, text_column, work_dir
+from .kernels import buffers, slide, word_hashes
 
 #: Fixed values of the format: ids per word and bits per id for selectors 0-14.
 COUNT = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -41,8 +48,6 @@ _BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<bigint>, e
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Greedy Simple-8b: (selectors uint8, words uint64). Each word takes the longest run that fits;
     a value of over 30 bits takes an escape word."""
-    from .kernels import slide
-
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
     if n == 0:
@@ -122,8 +127,6 @@ class Encoder:
     """
 
     def __init__(self, raw: str):
-        import json
-
         from tokenizers import Tokenizer
 
         conf = json.loads(raw)
@@ -206,8 +209,6 @@ class Encoder:
 
     def __call__(self, arr) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has) of an Arrow string array."""
-        from .kernels import buffers, word_hashes
-
         data, off = buffers(arr)
         if self.n > CACHE_PIECES or self.used > 8 * CACHE_PIECES:
             self._evict()
@@ -246,9 +247,6 @@ class Encoder:
 
 def _worker_encoder(raw: str) -> Encoder:
     """This worker's encoder. Functions travel by value, so what a worker keeps between tasks hangs on a module of its own."""
-    import sys
-    import types
-
     kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
     if getattr(kept, "tokenizer", None) != (key := hash(raw)):
         kept.tokenizer, kept.encoder = key, Encoder(raw)
@@ -269,10 +267,6 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, text
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text"))
 
     def kernel(batches):
-        import os
-
-        from pyspark import TaskContext
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part = TaskContext.get().partitionId()
         encode = None
@@ -350,8 +344,6 @@ def default_tokenizer() -> str:
 
 def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write the token files of `docs` under the shared folder and read them back."""
-    import uuid
-
     spark = docs.sparkSession
     files = write_tokens(docs, f"{work_dir(spark)}/tessera/{uuid.uuid4().hex}/tokens", tokenizer or default_tokenizer())
     return read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
