@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import pickle
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +114,17 @@ def stash(df: DataFrame, name: str = "t", path: str | None = None, compression:
     return out
 
 
+class Shipped:
+    """An object for the workers, broadcast as bytes that carry its class with them."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self._held.value)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
     import gc

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, stash, text_column
+from .common import Shipped, pieces, stash, text_column
 from .kernels import alnum_table, buffers, lower_table, word_hashes, words
 
 WINDOW = 13
@@ -212,7 +212,7 @@ def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry
         auto = Automaton([(i, [number[w] for w in seq]) for i, seq in shard], window)
         # Several rows may share an id: automaton items become id numbers.
         auto.whole = {s: frozenset(place[shard[k][0]] for k in v) for s, v in auto.whole.items()}
-        held = spark.sparkContext.broadcast((vocab, auto, names))
+        held = Shipped(spark, (vocab, auto, names))
         found = T.StructType.fromDDL("n_words long, n_hit long, longest long, spans array<int>, items array<string>")
         part = out.mapInArrow(_kernel(held, window), T.StructType(out.schema.fields[2:] + found.fields))
         total = part if total is None else total.unionByName(part)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, stash, text_column
+from .common import Shipped, pieces, stash, text_column
 from .kernels import buffers
 
 ORDER = 3
@@ -227,7 +227,7 @@ def predict(df: DataFrame, model: Model, keep=(), text: str = "text") -> DataFra
     """Per row of df: `keep` columns, lang_pred and score (posterior of the prediction under equal priors, from code
     lengths per byte at the reach of 200 bytes). `und` with score 0 for null texts, texts without a letter and an empty model."""
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held = Shipped(spark, model)
     rows = df.select(F.coalesce(text_column(df, text), F.lit("")).alias("text"), F.coalesce(text_column(df, text).rlike("\\p{L}"), F.lit(False)).alias("_letter"), *[c if not isinstance(c, str) else F.col(f"`{c}`") for c in keep])
 
     def kernel(batches):

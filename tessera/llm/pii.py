@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, stash, text_column
+from .common import Shipped, pieces, stash, text_column
 from .kernels import buffers
 
 #: Kinds of the base patterns in their order, then those that only the field finds.
@@ -389,7 +389,7 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", field: F
 
     Null texts are empty. Rows are judged each on its own; repeats, ties and other columns don't matter.
     """
-    held = df.sparkSession.sparkContext.broadcast(field or train())
+    held = Shipped(df.sparkSession, field or train())
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(text_column(df, text), F.lit("")).alias("text"))
     kind = "array<struct<kind:string,start:int,end:int>>"
 
