@@ -143,45 +143,47 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.known: dict[int, int] = {}
         self.n = self.used = 0
-        #: Per piece: its hash, where its ids start in the store, how many, and in how many calls it came.
-        self.key, self.at, self.size, self.calls = (np.zeros(1 << 12, t) for t in (np.uint64, np.int64, np.int64, np.int32))
+        #: Hashes of the pieces kept, sorted, and the number of each.
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        #: By number: where a piece's ids start in the store, how many, and in how many calls it came.
+        self.at, self.size, self.calls = (np.zeros(1 << 12, t) for t in (np.int64, np.int64, np.int32))
         self.store = np.zeros(1 << 14, np.uint32)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
-    def _keep(self, key, size, flat):
-        """Append pieces with their ids."""
-        n, m = self.n + len(key), self.used + len(flat)
-        self.key, self.at, self.size, self.calls = (self._room(a, n) for a in (self.key, self.at, self.size, self.calls))
+    def _keep(self, keys, place, size, flat):
+        """Add pieces (sorted hashes, their places among the keys, their ids)."""
+        n, m = self.n + len(keys), self.used + len(flat)
+        self.at, self.size, self.calls = (self._room(a, n) for a in (self.at, self.size, self.calls))
         self.store = self._room(self.store, m)
-        self.key[self.n : n], self.size[self.n : n] = key, size
+        self.size[self.n : n] = size
         self.at[self.n : n] = self.used + np.cumsum(size) - size
         self.store[self.used : m] = flat
-        self.known.update(zip(key.tolist(), range(self.n, n)))
+        self.keys, self.number = np.insert(self.keys, place, keys), np.insert(self.number, place, np.arange(self.n, n))
         self.n, self.used = n, m
 
     def _evict(self):
         """Drop pieces that came in one call only; all of them where that leaves too many."""
-        old = np.flatnonzero(self.calls[: self.n] > 1)
-        key, size, at, store = self.key[old], self.size[old], self.at[old], self.store
+        old = self.calls[self.number] > 1
+        keys, number = self.keys[old], self.number[old]
+        size, at, store = self.size[number], self.at[number], self.store
         self.clear()
-        if len(key) <= CACHE_PIECES // 2 and len(key):
+        if 0 < len(keys) <= CACHE_PIECES // 2 and size.sum():
             total = np.cumsum(size)
-            self._keep(key, size, store[np.arange(total[-1]) - np.repeat(total - size - at, size)])
+            self._keep(keys, np.zeros(len(keys), np.int64), size, store[np.arange(total[-1]) - np.repeat(total - size - at, size)])
 
     def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Ascending byte positions at which pieces start, those of documents included."""
         first = off[:-1][off[:-1] < off[1:]]
         if not self.cuts or len(data) < 3:
             return first
-        inner = (data & 0xC0) == 0x80
-        before = self.plain[data]  # at i: the character that ends in byte i is surely no white space
-        before[1:] |= inner[1:] & self.lead[data[:-1]]
-        after = self.plain[data] | self.lead[data]
+        inner, plain, lead = (data & 0xC0) == 0x80, self.plain[data], self.lead[data]
+        before = plain.copy()  # at i: the character that ends in byte i is surely no white space
+        before[1:] |= inner[1:] & lead[:-1]
+        after = plain | lead
         letter = self.letter[data]
         accent = inner.copy()  # U+00C0 to U+00FF but the two signs among them
         accent[0] = False
@@ -189,7 +191,7 @@ class Encoder:
         cut = np.zeros(len(data), bool)
         space = data == 0x20
         cut[1:-1] = space[1:-1] & before[:-2] & after[2:]
-        cut[1:] |= (letter | accent)[:-1] & self.plain[data[1:]] & ~letter[1:]
+        cut[1:] |= (letter | accent)[:-1] & plain[1:] & ~letter[1:]
         cut[2:] |= (data[1:-1] == 0x0A) & before[:-2] & after[2:]
         # What stands around a document's bounds is another document's.
         for edge in (first, first + 1):
@@ -217,18 +219,19 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(arr), np.int64)
         ends = np.append(starts[1:], len(data))
         h, one, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        place = list(map(self.known.get, keys))
-        new = [i for i, p in enumerate(place) if p is None]
-        if new:
+        near = np.searchsorted(self.keys, h)
+        found = near < len(self.keys)
+        found[found] = self.keys[near[found]] == h[found]
+        place = np.empty(len(h), np.int64)
+        place[found] = self.number[near[found]]
+        new = np.flatnonzero(~found)
+        if len(new):
             raw = data.tobytes()
             s, e = starts[one[new]].tolist(), ends[one[new]].tolist()
             coded = [x.ids for x in self.tok.encode_batch_fast([raw[i:j].decode() for i, j in zip(s, e)], add_special_tokens=False)]
-            for k, i in enumerate(new):
-                place[i] = self.n + k
-            size = np.array([len(c) for c in coded], np.int64)
-            self._keep(h[new], size, np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum())))
-        place = np.array(place, np.int64)
+            place[new] = np.arange(self.n, self.n + len(new))
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            self._keep(h[new], near[new], size, np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum())))
         self.calls[place] += 1
         where = place[back]
         n = self.size[where]
