@@ -220,10 +220,10 @@ def agg_quantiles(spark, d):
     return frame(spark, d, "lineitem").group_by("l_linestatus").agg(lin=col("l_extendedprice").quantile(0.25), zero=q.quantile(0.0, "lower"), low=q.quantile(0.3, "lower"), high=q.quantile(0.3, "higher")).df
 
 
-@query("agg_dict", "SELECT c_mktsegment, count(c_acctbal) AS c_acctbal_count, ROUND(avg(c_acctbal), 4) AS c_acctbal_mean, count(DISTINCT c_nationkey) AS c_nationkey_nunique, min(c_nationkey) AS c_nationkey_min FROM customer GROUP BY c_mktsegment")
+@query("agg_dict", "SELECT c_mktsegment, count(c_acctbal) AS c_acctbal_count, ROUND(avg(c_acctbal), 8) AS c_acctbal_mean, count(DISTINCT c_nationkey) AS c_nationkey_nunique, min(c_nationkey) AS c_nationkey_min FROM customer GROUP BY c_mktsegment")
 def agg_dict(spark, d):
     f = frame(spark, d, "customer", "c_custkey").group_by("c_mktsegment").agg({"c_acctbal": ["count", "mean"], "c_nationkey": ["nunique", "min"]})
-    return f.df.withColumn("c_acctbal_mean", F.round("c_acctbal_mean", 4))
+    return f.df.withColumn("c_acctbal_mean", F.round("c_acctbal_mean", 8))
 
 
 @query("group_first_last", "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last FROM orders GROUP BY o_custkey")
