@@ -1,4 +1,4 @@
-"""SQL over registered frames (rows 282-295): Spark's own parser and planner, with the reference's extra names."""
+"""SQL over registered frames (rows 282-295): Spark's own parser and planner, with a few extra names."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Files, SQL, generators, and what the reference lacks: as-of joins, pivots, dynamic groups, set operations, streams."""
+"""Files, SQL, generators, and supersets: as-of joins, pivots, dynamic groups, set operations, streams."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""CSV, Parquet, JSON and NDJSON readers with the reference types' inference (rows 4-18)."""
+"""CSV, Parquet, JSON and NDJSON readers with type inference (rows 4-18)."""
 
 from __future__ import annotations
 
