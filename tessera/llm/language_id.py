@@ -14,16 +14,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Shipped, pieces, stash, text_column
 from .kernels import buffers
 
 ORDER = 3
-#: Documented bounds of the frozen model: contexts of the full order per language (the most frequent ones), and
-#: occurrences below which a full-order context or a symbol after it is not kept (its escape stands in).
-MAX_CONTEXTS = 6_000
+#: Occurrences below which a symbol after a full-order context is not kept (its escape stands in); lower orders count all.
 MIN_COUNT = 2
 #: Held out are documents whose crc32(doc_id as text) mod FOLDS is FOLD.
 FOLDS, FOLD = 4, 2
@@ -112,12 +109,14 @@ def _count(order: int):
 class Model:
     """The compiled trees: languages, transition from the last symbols, code lengths."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS):
-        """counts: per language, sorted (order + 1)-grams as numbers and how often each came."""
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, lower: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """counts: per language, sorted (order + 1)-grams as numbers and how often each came. lower: the same of
+        `order`-grams, from which all lower orders are counted; where it is None, counts holds every gram."""
         self.table, n_sym = symbols()
         self.n_sym, self.order = n_sym, order
-        self.langs = sorted(counts)
-        trees = [self._tree(*counts[k], max_contexts) for k in self.langs]
+        self.langs = sorted(counts if lower is None else lower)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        trees = [self._tree(counts.get(k, none), counts[k] if lower is None else lower[k]) for k in self.langs]
         # States: per depth, all contexts of any language; the root is state 0.
         self.contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([np.zeros(0, np.int64), *[t[d][0] for t in trees]])) for d in range(1, order + 1)]
         base = np.cumsum([0] + [len(c) for c in self.contexts])
@@ -133,14 +132,13 @@ class Model:
             view = self.goto.reshape(-1, step)
             view[:, self.contexts[d]] = (base[d] + np.arange(len(self.contexts[d]))).astype(np.int32)
 
-    def _tree(self, grams, n, max_contexts):
-        """Per depth d: (sorted contexts, row starts, symbols, counts)."""
+    def _tree(self, full, lower):
+        """Per depth d: (sorted contexts, row starts, symbols, counts); of the full order from `full`, of the others from `lower`."""
         n_sym, order = self.n_sym, self.order
-        grams = grams.astype(np.int64)
-        ctx, sym = grams // n_sym, grams % n_sym
         tree = []
         for d in range(order + 1):
-            key = (ctx % n_sym**d) * n_sym + sym
+            grams, n = full if d == order else lower
+            key = grams.astype(np.int64) % n_sym ** (d + 1)
             o = np.argsort(key, kind="stable")
             key_s, c = key[o], n[o]
             first = np.flatnonzero(np.concatenate([[True], key_s[1:] != key_s[:-1]])) if len(key_s) else np.zeros(0, int)
@@ -148,16 +146,8 @@ class Model:
             if d == order:
                 keep = c_u >= MIN_COUNT
                 key_u, c_u = key_u[keep], c_u[keep]
-            cx = key_u // n_sym
-            if d == order and len(cx):
-                u, inv = np.unique(cx, return_inverse=True)
-                total = np.bincount(inv, weights=c_u)
-                if len(u) > max_contexts:
-                    top = np.sort(np.lexsort((u, -total))[:max_contexts])
-                    keep = np.isin(inv, top)
-                    key_u, c_u, cx = key_u[keep], c_u[keep], cx[keep]
-            u, starts = np.unique(cx, return_index=True)
-            tree.append((u, np.append(starts, len(cx)), key_u % n_sym, c_u.astype(np.float64)))
+            u, starts = np.unique(key_u // n_sym, return_index=True)
+            tree.append((u, np.append(starts, len(key_u)), key_u % n_sym, c_u.astype(np.float64)))
         return tree
 
     def _fill(self, cost, tree, base):
@@ -199,28 +189,31 @@ class Model:
         return out
 
 
-def train(df: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Counts of all rows with a language and a text -> the frozen model. Grams that come once in a language are
-    left to escapes; only the rest, bounded by max_contexts * symbols per language, reach the driver."""
-    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), text_column(df, text).alias("text")).filter("lang is not null and text is not null")
-    counts = stash(rows.mapInArrow(_count(order), "lang string, gram long, n long"), "grams")
-    total = stash(counts.df.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT), "counts")
-    n_sym = symbols()[1]
-    heads = total.df.groupBy("lang", F.expr(f"gram div {n_sym}").alias("ctx")).agg(F.sum("n").alias("w"))
-    top = heads.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("w"), "ctx"))).filter(F.col("rank") <= max_contexts).select("lang", "ctx")
-    kept = total.df.withColumn("ctx", F.expr(f"gram div {n_sym}")).join(top, ["lang", "ctx"]).select("lang", "gram", "n")
-    got = kept.toArrow()
-    langs = got.column("lang").to_pylist()
+def _by_lang(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(lang, gram, n) -> per language, sorted grams and their counts."""
+    got = counts.toArrow()
+    codes = np.array(got.column("lang").to_pylist(), object)
     grams, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-    codes = np.array(langs, object)
-    model = {}
-    for k in sorted(set(langs)):
+    out = {}
+    for k in sorted(set(codes.tolist())):
         m = codes == k
         o = np.argsort(grams[m], kind="stable")
-        model[k] = (grams[m][o], n[m][o])
+        out[k] = (grams[m][o], n[m][o])
+    return out
+
+
+def train(df: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> Model:
+    """Counts of all rows with a language and a text -> the frozen model. All lower orders count every gram; of the
+    full order every gram of MIN_COUNT occurrences reaches the driver. Both are bounded by the alphabet: symbols ** order
+    and symbols ** (order + 1) numbers per language."""
+    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), text_column(df, text).alias("text")).filter("lang is not null and text is not null")
+    counts = stash(rows.mapInArrow(_count(order), "lang string, gram long, n long"), "grams")
+    total = stash(counts.df.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    full = _by_lang(total.df.filter(F.col("n") >= MIN_COUNT))
+    lower = _by_lang(total.df.groupBy("lang", (F.col("gram") % symbols()[1] ** max(order, 1)).alias("gram")).agg(F.sum("n").alias("n")))
     counts.drop()
     total.drop()
-    return Model(model, order, max_contexts)
+    return Model(full, order, lower)
 
 
 def predict(df: DataFrame, model: Model, keep=(), text: str = "text") -> DataFrame:
