@@ -96,6 +96,11 @@ def sort_nulls_last(spark, d):
     return nulled(spark, d).sort("p", "o_orderkey", descending=[True, False]).head(500).select("o_orderkey", "p").df
 
 
+@query("sort_whole", f"SELECT o_orderkey, p, CAST(row_number() OVER (ORDER BY p DESC NULLS LAST, o_orderkey) - 1 AS INTEGER) AS row_nr FROM ({_NULLED})")
+def sort_whole(spark, d):
+    return nulled(spark, d).sort("p", "o_orderkey", descending=[True, False]).with_row_number().select("o_orderkey", "p", "row_nr").df
+
+
 @query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def top_k(spark, d):
     return frame(spark, d, "orders", "o_orderkey").sort("o_totalprice", descending=True).head(100).select("o_orderkey", "o_totalprice").df
