@@ -241,4 +241,8 @@ def end_of(c, unit: str):
 def epoch(c, unit: str = "s"):
     """Seconds (down), ms, us or ns since 1970 (row 233)."""
     us = micros(c)
-    return us * 1000 if unit == "ns" else us if unit == "us" else F.floor(us / F.lit({"ms": 1000, "s": 1_000_000}[unit])).cast("long")
+    if unit in ("ns", "us"):
+        return us * 1000 if unit == "ns" else us
+    step = F.lit({"ms": 1000, "s": 1_000_000}[unit])
+    # Decimals: a double does not hold all microseconds.
+    return ((us - F.pmod(us, step)).cast("decimal(20,0)") / step).cast("long")

@@ -40,12 +40,18 @@ def trig(c, name: str):
     return getattr(F, name)(c)
 
 
+def _whole(c, f) -> Column:
+    """f of a double (row 250); NaN, infinities and values from 2**53 are whole already and no longs."""
+    d = c.cast("double")
+    return F.when(F.isnan(d) | (F.abs(d) >= 2.0**53), d).otherwise(f(d).cast("double"))
+
+
 def floor(c):
-    return F.floor(c).cast("double")
+    return _whole(c, F.floor)
 
 
 def ceil(c):
-    return F.ceil(c).cast("double")
+    return _whole(c, F.ceil)
 
 
 def round_(c, decimals: int = 0):

@@ -188,6 +188,16 @@ def strptime(c, target: str = "datetime", fmt: str | None = None):
     return t.cast("date") if target == "date" else t
 
 
+def to_date(c, fmt: str | None = None):
+    """Text to date (row 206)."""
+    return strptime(c, "date", fmt)
+
+
+def to_datetime(c, fmt: str | None = None):
+    """Text to wall-clock time (row 206)."""
+    return strptime(c, "datetime", fmt)
+
+
 def strptime_strict(df, column: str, target: str = "datetime", fmt: str | None = None):
     """strptime that raises, with up to five examples, where a text does not parse. Runs a job."""
     parsed = df.withColumn("_parsed", strptime(F.col(column), target, fmt))

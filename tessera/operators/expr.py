@@ -23,6 +23,10 @@ from tessera.operators import windows as win
 from tessera.plans import semantics as S
 
 
+#: The column of frame-wide row numbers.
+NUMBER = "__number"
+
+
 @dataclass(frozen=True)
 class Scope:
     """order: ordering Columns of the frame; schema: its types; partition: Columns under `over`, else None."""
@@ -34,10 +38,16 @@ class Scope:
     temps: dict[str, Column] = field(default_factory=dict)
 
     def position(self) -> Column:
-        """The row's number in its partition, as a column to be added first."""
-        number = F.row_number().over(self.window())
+        """The row's number from 1 in its partition, as a column to be added first; over the frame, the frame gives it."""
+        if self.partition is not None:
+            return self.added(F.row_number().over(self.window()))
+        self.temps[NUMBER] = None
+        return F.col(NUMBER)
+
+    def added(self, c: Column) -> Column:
+        """c as a column to be added first."""
         name = f"__pos{len(self.temps)}"
-        self.temps[name] = number
+        self.temps[name] = c
         return F.col(name)
 
     def window(self, order: bool = True):
@@ -57,6 +67,8 @@ class Expr:
     kind: Callable[[Scope], T.DataType] | None = None
     aggregate: bool = False
     descending: bool | None = None
+    #: (offset, length) of a slice of rows.
+    cut: tuple | None = None
     source: str | None = field(default=None, compare=False)
     #: For filters: (the `lower` that this is about, conjuncts, a form that readers can push down or None).
     logic: tuple | None = field(default=None, compare=False)
@@ -316,10 +328,45 @@ class Expr:
         return replace(self, lower=lower, kind=lambda s: T.LongType(), aggregate=True)
 
     def arg_min(self):
-        return self._agg(lambda c, s: F.min_by(F.struct(*s.order), c), None)
+        return self._arg(False)
 
     def arg_max(self):
-        return self._agg(lambda c, s: F.max_by(F.struct(*s.order), c), None)
+        return self._arg(True)
+
+    def _arg(self, greatest: bool):
+        """The number, from 0 in the frame's order, of the first row with the extreme value; nulls and NaN have none (row 92)."""
+
+        def lower(s: Scope):
+            plain = replace(s, partition=None)
+            c = S.skip_nan(self.lower(plain), S.is_floating(_type_of(self, s)))
+            at = plain.position().cast("long") - 1
+            key = F.when(c.isNotNull(), F.struct(c.alias("v"), (-at if greatest else at).alias("i")))
+            return (F.max_by if greatest else F.min_by)(at, key)
+
+        return replace(self, lower=lower, kind=lambda s: T.LongType(), aggregate=True)
+
+    def arg_sort(self, descending: bool = False):
+        """Per row i: the number, from 0, of the row that a sort puts in place i; nulls last, ties in order (row 157)."""
+
+        def lower(s: Scope):
+            c = self.lower(replace(s, partition=None))
+            at = s.position().cast("long") - 1
+            key = S.sort_key(c, descending)
+            place = s.added(F.row_number().over(W.partitionBy(*(s.partition or ())).orderBy(key, *s.order)))
+            w = W.partitionBy(*(s.partition or ()))
+            # Numbers in the order of their places, each row taking the one of its own number.
+            return F.get(F.array_sort(F.collect_list(F.struct(place.alias("p"), at.alias("i"))).over(w)), at.cast("int"))["i"]
+
+        return replace(self, lower=lower, kind=lambda s: T.LongType())
+
+    def slice(self, offset: int, length: int | None = None):
+        """The values of a slice of the frame's rows, from the end for a negative offset; bounds are clipped (row 162).
+        A selection's expressions must have the same slice."""
+        return replace(self, cut=(offset, length))
+
+    def whole(self):
+        """Without its slice."""
+        return replace(self, cut=None)
 
     def all(self):
         return self._agg(lambda c, s: F.coalesce(F.bool_and(c), F.lit(True)), lambda s: T.BooleanType())
@@ -447,17 +494,28 @@ class Expr:
     def expanding_std(self, min_periods=1, ddof=1):
         return self.rolling_std(None, min_periods, ddof)
 
-    def ewm_mean(self, alpha, adjust=True, ignore_nulls=True, min_periods=1):
-        return self._ordered(lambda c, w: win.ewm_mean(c, w, alpha, adjust, ignore_nulls, min_periods))
+    def _ewm(self, fn) -> Expr:
+        """fn(history, add), add making a column that the frame adds first."""
+
+        def lower(s: Scope):
+            return fn(win.History(self.lower(replace(s, partition=None)), s.partition or (), s.order), s.added)
+
+        return replace(self, lower=lower, kind=lambda s: T.DoubleType())
+
+    def ewm_mean(self, alpha=None, adjust=True, ignore_nulls=True, min_periods=1, span=None, halflife=None, com=None):
+        a = win.alpha_of(alpha, span, halflife, com)
+        return self._ewm(lambda h, add: win.ewm_mean(h, add, a, adjust, ignore_nulls, min_periods))
 
-    def ewm_sum(self, alpha, ignore_nulls=True, min_periods=1):
-        return self._ordered(lambda c, w: win.ewm_sum(c, w, alpha, ignore_nulls, min_periods))
+    def ewm_sum(self, alpha=None, ignore_nulls=True, min_periods=1, span=None, halflife=None, com=None):
+        a = win.alpha_of(alpha, span, halflife, com)
+        return self._ewm(lambda h, add: win.ewm_sum(h, a, ignore_nulls, min_periods))
 
-    def ewm_var(self, alpha, adjust=True, ignore_nulls=True, min_periods=2, bias=False):
-        return self._ordered(lambda c, w: win.ewm_var(c, w, alpha, adjust, ignore_nulls, min_periods, bias))
+    def ewm_var(self, alpha=None, adjust=True, ignore_nulls=True, min_periods=2, bias=False, span=None, halflife=None, com=None):
+        a = win.alpha_of(alpha, span, halflife, com)
+        return self._ewm(lambda h, add: win.ewm_var(h, add, a, adjust, ignore_nulls, min_periods, bias))
 
-    def ewm_std(self, alpha, adjust=True, ignore_nulls=True, min_periods=2, bias=False):
-        return self.ewm_var(alpha, adjust, ignore_nulls, min_periods, bias)._map(lambda c: F.when(c > 0, F.sqrt(c)).when(c.isNotNull(), F.lit(0.0)), lambda s: T.DoubleType())
+    def ewm_std(self, alpha=None, adjust=True, ignore_nulls=True, min_periods=2, bias=False, span=None, halflife=None, com=None):
+        return self.ewm_var(alpha, adjust, ignore_nulls, min_periods, bias, span, halflife, com)._map(lambda c: F.when(c > 0, F.sqrt(c)).when(c.isNotNull(), F.lit(0.0)), lambda s: T.DoubleType())
 
     # -- math ----------------------------------------------------------------------------------------
     def abs(self):
@@ -580,8 +638,7 @@ def row_number() -> Expr:
     """From 0 over the frame, from 1 under `over` (row 41)."""
 
     def lower(s: Scope):
-        n = F.row_number().over(s.window())
-        return n.cast("long") if s.partition is not None else n - 1
+        return F.row_number().over(s.window()).cast("long") if s.partition is not None else (s.position() - 1).cast("int")
 
     return Expr(lower, "row_number", lambda s: T.LongType())
 
@@ -589,7 +646,7 @@ def row_number() -> Expr:
 def arange(start: int, end: int, step: int = 1) -> Expr:
     """start, start + step, ... by row; null beyond end (row 36)."""
     n = max(0, math.ceil((end - start) / step))
-    return Expr(lambda s: F.when(F.row_number().over(s.window()) <= n, start + (F.row_number().over(s.window()) - 1) * step), "arange", lambda s: T.IntegerType())
+    return Expr(lambda s: F.when(s.position() <= n, (start + (s.position() - 1) * step).cast("int")), "arange", lambda s: T.IntegerType())
 
 
 def _many(exprs):

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import joins
-from tessera.operators.expr import Expr, Scope, col, wrap
+from tessera.operators.expr import NUMBER, Expr, Scope, col, wrap
+from tessera.operators.numbering import numbered
 from tessera.plans import semantics as S
 
 _ROW = "__row"
@@ -23,6 +24,9 @@ AGGREGATES = ("count", "sum", "mean", "median", "min", "max", "std", "var", "fir
 
 
 class Frame:
+    #: Whether `df` comes in the frame's order: after a sort.
+    _in_order = False
+
     def __init__(self, df: DataFrame, order: list[str] | str | None = None):
         if len(set(df.columns)) != len(df.columns):
             raise ValueError("column names must differ")
@@ -54,6 +58,28 @@ class Frame:
                 raise ValueError("schema and columns must agree")
         return cls(spark.createDataFrame(rows, T.StructType([T.StructField(_ROW, T.LongType()), *fields])))
 
+    @classmethod
+    def from_arrow(cls, spark: SparkSession, table) -> Frame:
+        """A pyarrow table or record batch (row 307)."""
+        import pyarrow as pa
+
+        return cls(spark.createDataFrame(pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table))
+
+    @classmethod
+    def series(cls, spark: SparkSession, name: str, values: list, kind: str | None = None) -> Frame:
+        """One column; lists make a list column (rows 31-32). kind: its type as SQL, else that of the values."""
+        return cls.from_dict(spark, {name: values}, f"`{name}` {kind}" if kind else None)
+
+    @classmethod
+    def from_series(cls, *columns: Frame) -> Frame:
+        """Frames of one column side by side (row 28): lengths must agree, names differ."""
+        out = columns[0]
+        if len({f.shape()[0] for f in columns}) > 1:
+            raise ValueError("columns must be of one length")
+        for c in columns[1:]:
+            out = out.hconcat(c)
+        return out
+
     @classmethod
     def empty(cls, spark: SparkSession, schema: str) -> Frame:
         return cls(spark.createDataFrame([], schema))
@@ -80,8 +106,8 @@ class Frame:
 
     @property
     def df(self) -> DataFrame:
-        """The Spark DataFrame, without the hidden order."""
-        return self._df.drop(_ROW)
+        """The Spark DataFrame, without the hidden order; after a sort its rows are in order."""
+        return (self._df.orderBy(*self._sorted()) if self._in_order else self._df).drop(_ROW)
 
     @property
     def columns(self) -> list[str]:
@@ -146,6 +172,7 @@ class Frame:
     def _with(self, df: DataFrame, order: list[str] | None = None) -> Frame:
         out = Frame.__new__(Frame)
         out._df, out._order = df, order or self._order
+        out._in_order = self._in_order and out._order == self._order
         return out
 
     def _fresh(self, df: DataFrame, *keys) -> Frame:
@@ -155,6 +182,14 @@ class Frame:
     def _sorted(self, descending: bool = False) -> list[Column]:
         return [S.sort_key(F.col(f"`{c}`"), descending) for c in self._order]
 
+    def _keys(self) -> list[tuple[Column, bool, bool]]:
+        """The order as (column, descending, nulls last)."""
+        return [(F.col(f"`{c}`"), False, True) for c in self._order]
+
+    def _number(self, name: str, start: int = 0) -> DataFrame:
+        """The rows with consecutive numbers in the frame's order."""
+        return numbered(self._df, self._keys(), name, start)
+
     def _scope(self) -> Scope:
         return Scope(tuple(F.col(f"`{c}`") for c in self._order), self._df.schema)
 
@@ -163,7 +198,13 @@ class Frame:
         flat = [x for e in exprs for x in (e if isinstance(e, (list, tuple)) else [e])]
         exprs = [e if isinstance(e, Expr) else col(e) for e in flat]
         cols = [e.column(scope) for e in exprs]
-        return (self._df.withColumns(scope.temps) if scope.temps else self._df), cols, list(scope.temps)
+        return self._prepared(scope), cols, list(scope.temps)
+
+    def _prepared(self, scope: Scope) -> DataFrame:
+        """The rows with the columns that lowered expressions need first."""
+        df = self._number(NUMBER, 1) if NUMBER in scope.temps else self._df
+        more = {n: c for n, c in scope.temps.items() if c is not None}
+        return df.withColumns(more) if more else df
 
     def _hidden(self, names) -> list[str]:
         return [c for c in self._order if c not in names]
@@ -172,6 +213,10 @@ class Frame:
     def select(self, *exprs) -> Frame:
         flat = [x for e in exprs for x in (e if isinstance(e, (list, tuple)) else [e])]
         parsed = [e if isinstance(e, Expr) else col(e) for e in flat]
+        if any(e.cut for e in parsed):
+            if len({e.cut for e in parsed}) > 1:
+                raise ValueError("the expressions differ in length")
+            return self._cut(*parsed[0].cut).select(*[e.whole() for e in parsed])
         if parsed and all(e.aggregate for e in parsed):
             return self.agg(*parsed)
         df, cols, _ = self._lower(parsed)
@@ -196,20 +241,30 @@ class Frame:
         exprs = [*exprs, *[wrap(e).alias(n) for n, e in named.items()]]
         scope = self._scope()
         new = {e.name: e.lower(scope) for e in exprs}
-        df = self._df.withColumns(scope.temps) if scope.temps else self._df
-        out = df.withColumns(new).drop(*scope.temps)
+        out = self._prepared(scope).withColumns(new).drop(*scope.temps)
         return self._with(out)
 
     def with_column(self, name: str, value) -> Frame:
-        """An expression, or a function of this frame's pandas form by batches is `map_pandas`."""
-        return self.with_columns(wrap(value).alias(name))
+        """An expression, or a list of one value per row (row 46; runs a count). Functions of pandas batches go to `map_pandas`."""
+        if not isinstance(value, list):
+            return self.with_columns(wrap(value).alias(name))
+        out = self._beside(value, "__v").drop("__i")
+        return self._with(out.withColumn(name, F.col("__v")).drop("__v"))
+
+    def _beside(self, values: list, name: str) -> DataFrame:
+        """The rows with a list's values by number (__i) as `name`."""
+        if self._df.count() != len(values):
+            raise ValueError("there must be one value per row")
+        side = Frame.from_dict(self._df.sparkSession, {name: values})._df.withColumnRenamed(_ROW, "__i")
+        return self._number("__i").join(side, "__i")
 
     def map_pandas(self, fn, schema: str) -> DataFrame:
         """A function from an iterator of pandas frames to another (row 296)."""
         return self.df.mapInPandas(fn, schema)
 
-    def with_row_number(self, name: str = "row_nr") -> Frame:
-        return self._with(self._df.withColumn(name, F.row_number().over(W.orderBy(*self._sorted())) - 1))
+    def with_row_number(self, name: str = "row_nr", kind: str = "int") -> Frame:
+        """Numbers from 0 (row 40), given by ranges of the order in parallel; `bigint` for tables of over 2**31 rows."""
+        return self._with(self._number(name).withColumn(name, F.col(f"`{name}`").cast(kind)))
 
     def drop(self, *names: str) -> Frame:
         return self.select(*[c for c in self.columns if c not in names])
@@ -220,10 +275,12 @@ class Frame:
 
     # -- rows (rows 55-56, 154-169) -------------------------------------------------------------------
     def filter(self, predicate: Expr) -> Frame:
-        """Rows for which it holds; null drops the row."""
+        """Rows for which it holds; null drops the row. A list of booleans, one per row, is a mask (row 56; runs a count)."""
+        if isinstance(predicate, list):
+            return self._with(self._beside(predicate, "__v").filter("__v").drop("__v", "__i"))
         scope = self._scope()
         conditions = predicate.conditions(scope)
-        df = self._df.withColumns(scope.temps) if scope.temps else self._df
+        df = self._prepared(scope)
         for c in conditions:
             df = df.filter(c)
         return self._with(df.drop(*scope.temps) if scope.temps else df)
@@ -233,9 +290,8 @@ class Frame:
         scope = self._scope()
         exprs = [k if isinstance(k, Expr) else col(k) for k in keys]
         down = descending if isinstance(descending, list) else [descending] * len(exprs)
-        cols = [S.sort_key(e.lower(scope), d if e.descending is None else e.descending, nulls_last) for e, d in zip(exprs, down)]
-        by = [*cols, *self._sorted()]
-        return _Sorted(self._df, by)
+        by = [(e.lower(scope), d if e.descending is None else e.descending, nulls_last) for e, d in zip(exprs, down)]
+        return _Sorted(self._df, [*by, *self._keys()])
 
     def head(self, n: int = 5) -> Frame:
         return self._with(self._df.orderBy(*self._sorted()).limit(max(n, 0)))
@@ -248,6 +304,11 @@ class Frame:
     def slice(self, offset: int, length: int) -> Frame:
         return self._with(self._df.orderBy(*self._sorted()).offset(offset).limit(length))
 
+    def _cut(self, offset: int, length: int | None) -> Frame:
+        """A slice with clipped bounds, from the end for a negative offset."""
+        out = self.tail(-offset) if offset < 0 else self._with(self._df.orderBy(*self._sorted()).offset(offset)) if offset else self
+        return out if length is None else out.head(length)
+
     def sample(self, n: int | None = None, fraction: float | None = None, seed: int = 0) -> Frame:
         """Exactly n rows, or the floor of a share of them (runs a count), without replacement (row 164)."""
         if n is None:
@@ -257,9 +318,8 @@ class Frame:
     def take(self, indices: list[int]) -> Frame:
         """Rows by number, repeats allowed (row 165)."""
         spark = self._df.sparkSession
-        numbered = self._df.withColumn("__n", F.row_number().over(W.orderBy(*self._sorted())) - 1).drop(_ROW)
-        want = spark.createDataFrame(list(enumerate(indices)), "__at long, __n int")
-        out = numbered.join(F.broadcast(want), "__n").drop("__n").withColumnRenamed("__at", _ROW)
+        want = spark.createDataFrame(list(enumerate(indices)), "__at long, __n long")
+        out = self._number("__n").drop(_ROW).join(F.broadcast(want), "__n").drop("__n").withColumnRenamed("__at", _ROW)
         return self._with(out, [_ROW])
 
     def unique(self, *columns: str) -> Frame:
@@ -269,7 +329,7 @@ class Frame:
         return self._with(self._df.withColumn("__n", n).filter("__n = 1").drop("__n"))
 
     def reverse(self) -> Frame:
-        return _Sorted(self._df, self._sorted(True))
+        return _Sorted(self._df, [(c, not d, n) for c, d, n in self._keys()])
 
     def drop_nulls(self, *columns: str) -> Frame:
         return self._with(self._df.na.drop(subset=list(columns) or self.columns))
@@ -287,20 +347,28 @@ class Frame:
         """(column, count), most frequent first, then as they first came (row 109)."""
         rank = F.min(F.struct(*[F.col(f"`{c}`") for c in self._order])).alias("__first")
         g = self._df.groupBy(column).agg(F.count(F.lit(1)).cast("int").alias("count"), rank)
-        return _Sorted(g, [F.col("count").desc(), F.col("__first")], drop=["__first"])
+        return _Sorted(g, [(F.col("count"), True, True), (F.col("__first"), False, True)], drop=["__first"])
 
     def describe(self) -> DataFrame:
         """(statistic, one column per numeric column): count mean std min 25% 50% 75% max (row 110)."""
         names = S.numeric_columns(self.schema)
         floats = {f.name: S.is_floating(f.dataType) for f in self.schema.fields}
-        parts = {"count": lambda c: F.count(c), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c), "25%": lambda c: _at(c, 0.25), "50%": lambda c: _at(c, 0.5), "75%": lambda c: _at(c, 0.75), "max": lambda c: F.max(c)}
-
-        def _at(c, q):
-            v = F.sort_array(F.collect_list(c))
-            return F.get(v, F.floor(F.size(v) * F.lit(q)).cast("int"))
-
-        one = self._df.agg(*[F.struct(*[fn(S.skip_nan(F.col(f"`{n}`"), floats[n] and k in ("min", "max")).cast("double")).cast("double").alias(n) for n in names]).alias(k) for k, fn in parts.items()])
-        return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(f"`{k}`").alias("v")) for k in parts])).alias("r")).select("r.statistic", "r.v.*")
+        parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        quarters = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+
+        def ranks(name):
+            """The values at a quarter, a half and three quarters of the sorted column, as one list: by their numbers, not by gathering it."""
+            v = self._df.select(F.col(f"`{name}`").cast("double").alias("v")).filter("v is not null")
+            n = v.agg(F.count(F.lit(1))).scalar()
+            at = numbered(v, [(F.col("v"), False, True)], "r")
+            return at.agg(F.array(*[F.max(F.when(F.col("r") == F.floor(n * F.lit(q)), F.col("v"))) for q in quarters.values()])).scalar()
+
+        every = F.struct(*[fn(S.skip_nan(F.col(f"`{n}`"), floats[n] and k in ("min", "max")).cast("double")).cast("double").alias(f"{k}|{n}") for k, fn in parts.items() for n in names])
+        one = self._df.agg(every.alias("p")).select("p.*", *[ranks(n).alias(f"q|{n}") for n in names])
+        at = {q: i for i, q in enumerate(quarters)}
+        value = lambda k, n: F.get(F.col(f"`q|{n}`"), F.lit(at[k])) if k in at else F.col(f"`{k}|{n}`")
+        rows = [F.struct(F.lit(k).alias("statistic"), F.struct(*[value(k, n).alias(n) for n in names]).alias("v")) for k in ("count", "mean", "std", "min", *quarters, "max")]
+        return one.select(F.explode(F.array(*rows)).alias("r")).select("r.statistic", "r.v.*")
 
     def null_count(self) -> DataFrame:
         """(column, null_count) (row 111)."""
@@ -327,9 +395,14 @@ class Frame:
         return self._fresh(joins.asof(self.df, other.df, on, by or [], strategy))
 
     def join_where(self, other: Frame, condition: Column, how: str = "inner") -> DataFrame:
-        """Any condition between the two sides, named l and r in it."""
+        """Any condition between the two sides, named l and r in it. Without an equality in it every pair is compared:
+        intervals go to join_range."""
         return self.df.alias("l").join(other.df.alias("r"), condition, how)
 
+    def join_range(self, other: Frame, low: str, high: str, value: str) -> DataFrame:
+        """Rows of both sides, named l and r, where r.value lies between l.low and l.high, by equi-joined intervals."""
+        return joins.within(self.df, other.df, low, high, value)
+
     def vconcat(self, *others: Frame) -> Frame:
         """UNION ALL of equal schemas, rows of earlier frames first (row 170)."""
         out = self._numbered(0)
@@ -342,15 +415,14 @@ class Frame:
     union = vconcat
 
     def _numbered(self, i: int) -> DataFrame:
-        order = F.struct(F.lit(i).alias("i"), F.row_number().over(W.orderBy(*self._sorted())).alias("n"))
-        return self._df.withColumn(_ROW, order).select(*self.columns, _ROW)
+        order = F.struct(F.lit(i).alias("i"), F.col("__n").alias("n"))
+        return self._number("__n").withColumn(_ROW, order).select(*self.columns, _ROW)
 
     def hconcat(self, other: Frame) -> Frame:
         """Side by side, by row number; heights must agree (row 172)."""
         if set(self.columns) & set(other.columns):
             raise ValueError("column names must differ")
-        a = self._df.withColumn("__n", F.row_number().over(W.orderBy(*self._sorted()))).drop(_ROW)
-        b = other._df.withColumn("__n", F.row_number().over(W.orderBy(*other._sorted()))).drop(_ROW)
+        a, b = self._number("__n").drop(_ROW), other._number("__n").drop(_ROW)
         return self._with(a.join(b, "__n", "full").withColumnRenamed("__n", _ROW), [_ROW])
 
     def intersect(self, other: Frame) -> Frame:
@@ -394,32 +466,39 @@ class Frame:
 
 
 class _Sorted(Frame):
-    """A frame whose order is a list of sort keys rather than columns; becomes numbered when order is asked for."""
+    """A frame whose order is a list of sort keys (column, descending, nulls last) rather than columns. Operators that need the order
+    as a column get a number that rises with it, given task by task after a range exchange."""
 
-    def __init__(self, df, by, drop=()):
-        self._base, self._by, self._extra = df, by, list(drop)
+    _in_order = True
+
+    def __init__(self, df, keys, drop=()):
+        self._base, self._by, self._extra = df, keys, list(drop)
         self._order = [_ROW]
 
     @property
     def _df(self):
-        return self._base.withColumn(_ROW, F.row_number().over(W.orderBy(*self._by))).drop(*self._extra)
+        return self.df.withColumn(_ROW, F.monotonically_increasing_id())
 
     @property
     def df(self):
         """Sorted by a range exchange: no single task."""
-        return self._base.orderBy(*self._by).drop(_ROW, *self._extra)
+        return self._base.orderBy(*[S.sort_key(*k) for k in self._by]).drop(_ROW, *self._extra)
+
+    def _number(self, name, start=0):
+        # By the keys: the rising number may differ from one reading to the next.
+        return numbered(self._base, self._by, name, start).drop(*self._extra).withColumn(_ROW, F.col(f"`{name}`"))
 
     def collect(self):
         return self.df.collect()
 
     def head(self, n: int = 5) -> Frame:
         """A top-k plan: each task keeps n rows."""
-        return _Sorted(self._base.orderBy(*self._by).limit(max(n, 0)), self._by, self._extra)
+        return _Sorted(self._base.orderBy(*[S.sort_key(*k) for k in self._by]).limit(max(n, 0)), self._by, self._extra)
 
     limit = head
 
     def slice(self, offset, length):
-        return _Sorted(self._base.orderBy(*self._by).offset(offset).limit(length), self._by, self._extra)
+        return _Sorted(self._base.orderBy(*[S.sort_key(*k) for k in self._by]).offset(offset).limit(length), self._by, self._extra)
 
 
 class _Projected(Frame):
@@ -459,7 +538,8 @@ class Grouped:
         f = self.frame
         scope = f._scope()
         keys = [k.column(scope) for k in self.keys]
-        return f._fresh(f._df.groupBy(*keys).agg(*[e.column(scope) for e in exprs]), *self.names)
+        columns = [e.column(scope) for e in exprs]
+        return f._fresh(f._prepared(scope).groupBy(*keys).agg(*columns), *self.names)
 
     @staticmethod
     def _by_name(column: str, name: str) -> Expr:

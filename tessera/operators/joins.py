@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import numbers
+
 _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 
 
@@ -68,3 +70,30 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], strategy: st
     done = both.withColumn("__hit", hit).filter("__side = 1")
     clash = set(left.columns)
     return done.select("__left.*", *[F.col("__hit").getField(c).alias(f"{c}_right" if c in clash else c) for c in extra])
+
+
+#: Length exponent of intervals without an end, and of those of length 0.
+_ENDLESS, _POINT = 5000, -1100
+
+
+def within(left: DataFrame, right: DataFrame, low: str, high: str, value: str) -> DataFrame:
+    """Pairs of a left row (alias l) and a right row (alias r) with l.low <= r.value <= l.high; nulls and NaN join nothing.
+
+    Intervals are cut to a grid of their own length rounded up to a power of two, so that each lies in two cells at most;
+    a value is looked up in one cell per length that occurs. Both sides shuffle on the cell; no pair outside it is made.
+    """
+    a, z, v = (F.col(f"`{c}`").cast("double") for c in (low, high, value))
+    span = z - a
+    endless = (F.abs(a) == float("inf")) | (F.abs(z) == float("inf"))
+    level = F.when(endless, _ENDLESS).when(span == 0, _POINT).otherwise(F.ceil(F.log2(span))).cast("int")
+    held = left.filter((a <= z) & ~F.isnan(a) & ~F.isnan(z)).withColumn("__level", level)
+    cell = lambda x, n: F.when(n == _ENDLESS, F.lit(0.0)).when(n == _POINT, x).otherwise(numbers.floor(x / F.pow(F.lit(2.0), n)))
+    cells = F.array_distinct(F.array(cell(a, F.col("__level")), cell(z, F.col("__level"))))
+    # At most one number per exponent of a double.
+    levels = held.agg(F.collect_set("__level")).scalar()
+    sought = right.filter(v.isNotNull() & ~F.isnan(v)).withColumn("__in", F.explode(levels))
+    x = held.withColumn("__cell", F.explode(cells)).alias("l")
+    y = sought.withColumn("__at", cell(v, F.col("__in"))).alias("r")
+    same = (F.col("l.__level") == F.col("r.__in")) & (F.col("l.__cell") == F.col("r.__at"))
+    fits = (F.col(f"r.`{value}`") >= F.col(f"l.`{low}`")) & (F.col(f"r.`{value}`") <= F.col(f"l.`{high}`"))
+    return x.join(y, same & fits).drop("__level", "__cell", "__in", "__at")

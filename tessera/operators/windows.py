@@ -162,58 +162,84 @@ def _check_alpha(alpha: float) -> float:
     return float(alpha)
 
 
-def _history(c, w) -> Column:
-    """All values so far, nulls kept, in order (each wrapped, as lists drop nulls)."""
-    return F.collect_list(F.struct(c.cast("double").alias("v"))).over(running(w))
+def alpha_of(alpha: float | None = None, span: float | None = None, halflife: float | None = None, com: float | None = None) -> float:
+    """The one given of alpha, span, halflife and com, as alpha (rows 147-152)."""
+    given = [(f, v) for f, v in ((_check_alpha, alpha), (alpha_from_span, span), (alpha_from_halflife, halflife), (alpha_from_com, com)) if v is not None]
+    if len(given) != 1:
+        raise ValueError("one of alpha, span, halflife and com is needed")
+    return given[0][0](given[0][1])
 
 
-def ewm_mean(c, w, alpha, adjust, ignore_nulls, min_periods) -> Column:
-    """Weights do not decay across nulls; a null row repeats the value, or is null unless ignore_nulls (row 146)."""
-    a = _check_alpha(alpha)
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("w"), F.lit(0).alias("n"))
+def _reach(decay: float) -> int:
+    """Rows after which a weight is below 2**-64 of the newest: what lies before changes no double."""
+    return 0 if decay <= 0 else math.ceil(64 * math.log(2) / -math.log(decay))
 
-    def step(s, x):
-        v = x["v"]
-        if adjust:
-            new = F.struct((v + (1 - a) * s["m"]).alias("m"), (F.lit(1.0) + (1 - a) * s["w"]).alias("w"), (s["n"] + 1).alias("n"))
-        else:
-            new = F.struct(F.when(s["n"] == 0, v).otherwise(a * v + (1 - a) * s["m"]).alias("m"), F.lit(1.0).alias("w"), (s["n"] + 1).alias("n"))
-        return F.when(v.isNull(), s).otherwise(new)
 
-    out = F.aggregate(_history(c, w), zero, step, lambda s: F.when(s["n"] >= max(min_periods, 1), F.try_divide(s["m"], s["w"])))
-    return out if ignore_nulls else F.when(c.isNotNull(), out)
+class History:
+    """The values that weigh on a row, in order. Weights fade, so a window of fixed length holds them however long a group is."""
 
+    def __init__(self, c, partition, order):
+        self.c = c.cast("double")
+        self.all = W.partitionBy(*partition).orderBy(*order)
+        self.solid = W.partitionBy(*partition, c.isNull()).orderBy(*order)
 
-def ewm_sum(c, w, alpha, ignore_nulls, min_periods) -> Column:
-    """s = x + (1 - alpha) s; a null decays the sum (row 152)."""
+    def values(self, decay: float) -> Column:
+        """Of a row with a value: the non-null values up to it."""
+        return F.collect_list(self.c).over(self.solid.rowsBetween(-_reach(decay), 0))
+
+    def rows(self, decay: float) -> Column:
+        """All rows up to this one, nulls kept (each wrapped, as lists drop nulls)."""
+        return F.collect_list(F.struct(self.c.alias("v"))).over(self.all.rowsBetween(-_reach(decay), 0))
+
+    def seen(self) -> Column:
+        return F.count(self.c).over(running(self.all))
+
+    def carried(self, value: Column, ignore_nulls: bool) -> Column:
+        """A null row repeats the value before it, or is null unless ignore_nulls. value: a plain column."""
+        return F.last(value, ignorenulls=True).over(running(self.all)) if ignore_nulls else F.when(self.c.isNotNull(), value)
+
+
+def ewm_mean(h: History, add, alpha, adjust, ignore_nulls, min_periods) -> Column:
+    """Weights do not decay across nulls (row 146). add: makes a column of its own."""
     a = _check_alpha(alpha)
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    out = F.aggregate(
-        _history(c, w), zero,
-        lambda s, x: F.struct((F.coalesce(x["v"], F.lit(0.0)) + (1 - a) * s["s"]).alias("s"), (s["n"] + x["v"].isNotNull().cast("int")).alias("n")),
-        lambda s: F.when(s["n"] >= max(min_periods, 1), s["s"]),
-    )
-    return out if ignore_nulls else F.when(c.isNotNull(), out)
+    b = 1 - a
+    if adjust:
+        zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("w"))
+        step = lambda s, v: F.struct((v + b * s["m"]).alias("m"), (F.lit(1.0) + b * s["w"]).alias("w"))
+        mean = F.aggregate(h.values(b), zero, step, lambda s: F.try_divide(s["m"], s["w"]))
+    else:
+        none = F.lit(None).cast("double")
+        mean = F.aggregate(h.values(b), none, lambda s, v: F.when(s.isNull(), v).otherwise(a * v + b * s))
+    return F.when(h.seen() >= max(min_periods, 1), h.carried(add(F.when(h.c.isNotNull(), mean)), ignore_nulls))
+
+
+def ewm_sum(h: History, alpha, ignore_nulls, min_periods) -> Column:
+    """s = x + (1 - alpha) s; a null decays the sum (row 152)."""
+    b = 1 - _check_alpha(alpha)
+    out = F.aggregate(h.rows(b), F.lit(0.0), lambda s, x: F.coalesce(x["v"], F.lit(0.0)) + b * s)
+    out = F.when(h.seen() >= max(min_periods, 1), out)
+    return out if ignore_nulls else F.when(h.c.isNotNull(), out)
 
 
-def ewm_var(c, w, alpha, adjust, ignore_nulls, min_periods, bias) -> Column:
+def ewm_var(h: History, add, alpha, adjust, ignore_nulls, min_periods, bias) -> Column:
     """The recursion that carries the corrected variance on (row 149): the first value gives null."""
     a = _check_alpha(alpha)
     b = 1 - a
     none = F.lit(None).cast("double")
-    zero = F.struct(none.alias("m"), F.lit(0.0).alias("v"), F.lit(1.0).alias("w"), F.lit(1.0).alias("q"), F.lit(0).alias("n"))
+    zero = F.struct(none.alias("m"), F.lit(0.0).alias("v"), F.lit(1.0).alias("w"), F.lit(1.0).alias("q"))
 
     def step(s, x):
-        x = x["v"]
         weight, square = a + b * s["w"], a * a + b * b * s["q"]
         moved = b * (s["v"] + a * (x - s["m"]) * (x - s["m"]))
         if adjust and not bias:
             moved = moved * F.try_divide(weight * weight, weight * weight - square)
-        first = F.struct(x.alias("m"), F.lit(0.0).alias("v"), F.lit(1.0).alias("w"), F.lit(1.0).alias("q"), F.lit(1).alias("n"))
-        later = F.struct(F.try_divide(a * x + b * s["m"] * s["w"], weight).alias("m"), moved.alias("v"), weight.alias("w"), square.alias("q"), (s["n"] + 1).alias("n"))
-        return F.when(x.isNull(), s).when(s["n"] == 0, first).otherwise(later)
-
-    now = F.aggregate(_history(c, w), zero, step, lambda s: F.when(s["n"] >= max(min_periods, 1), F.struct(s["v"].alias("v"), s["n"].alias("n"))))
+        first = F.struct(x.alias("m"), F.lit(0.0).alias("v"), F.lit(1.0).alias("w"), F.lit(1.0).alias("q"))
+        later = F.struct(F.try_divide(a * x + b * s["m"] * s["w"], weight).alias("m"), moved.alias("v"), weight.alias("w"), square.alias("q"))
+        return F.when(s["m"].isNull(), first).otherwise(later)
+
+    # With the correction the variance fades by 1 - a / 2 a row.
+    fades = 1 - a / 2 if adjust and not bias else b
+    variance = add(F.when(h.c.isNotNull(), F.aggregate(h.values(fades), zero, step, lambda s: s["v"])))
+    seen = h.seen()
     # A row that brings the first value itself has no variance, whatever min_periods.
-    out = F.when(c.isNull() | (now["n"] > 1), now["v"])
-    return out if ignore_nulls else F.when(c.isNotNull(), out)
+    return F.when((seen >= max(min_periods, 1)) & (h.c.isNull() | (seen > 1)), h.carried(variance, ignore_nulls))

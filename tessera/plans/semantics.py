@@ -66,7 +66,11 @@ def divide(a: Column, b: Column, integral: bool) -> Column:
     if integral:
         a, b = a.cast("long"), b.cast("long")
         # Not `div`: a zero divisor raises there in ANSI mode even where a branch excludes it.
-        return F.when(b != 0, F.try_divide(a - F.try_mod(a, b), b).cast("long"))
+        whole = a - F.try_mod(a, b)
+        exact = F.try_divide(whole.cast("decimal(20,0)"), b.cast("decimal(20,0)"))
+        # A double holds a multiple of b below 2**53.
+        small = (whole < 2**53) & (whole > -(2**53))
+        return F.when(b != 0, F.when(small, F.try_divide(whole, b).cast("long")).otherwise(exact.cast("long")))
     a, b = a.cast("double"), b.cast("double")
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
     at_zero = F.when(F.isnan(a) | (a == 0), nan).when(a > 0, inf).otherwise(-inf)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.frame import Frame
@@ -11,6 +14,9 @@ from tessera.operators.frame import Frame
 #: Aggregate names that Spark spells otherwise.
 _NAMES = {"STD": "STDDEV_SAMP", "VAR": "VAR_SAMP", "LEN": "LENGTH"}
 
+#: Views of one name would meet: one query is analysed at a time.
+_ANALYSIS = threading.RLock()
+
 
 def _spelled(query: str) -> str:
     """Function names of _NAMES outside quoted text."""
@@ -20,6 +26,25 @@ def _spelled(query: str) -> str:
     return "".join(parts)
 
 
+@contextlib.contextmanager
+def _views(spark: SparkSession, tables: dict[str, DataFrame]):
+    """The tables as temporary views; views of the session that have their names come back after."""
+    before = {}
+    for name in tables:
+        with contextlib.suppress(AnalysisException):
+            if spark.catalog.getTable(f"`{name}`").isTemporary:
+                before[name] = spark.table(f"`{name}`")
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(f"`{name}`")
+        yield
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(f"`{name}`")
+
+
 class SqlContext:
     """Frames by name, whatever its case, and queries over them."""
 
@@ -34,25 +59,14 @@ class SqlContext:
         return self.tables.pop(name.lower(), None) is not None
 
     def sql(self, query: str) -> DataFrame:
-        """One SELECT. Table names stand for registered frames; no view is left behind."""
+        """One SELECT. Spark's parser finds the relations; the query is analysed at once, and no view is left behind."""
         if not query.strip():
             raise ValueError("the query is empty")
-        parts = re.split(r"('(?:[^']|'')*')", _spelled(query))
-        used = {}
-        for i in range(0, len(parts), 2):
-
-            def named(m):
-                name = m[2].lower()
-                if name in self.tables:
-                    used[f"t_{name}"] = self.tables[name]
-                    return f"{m[1]}{{t_{name}}} AS {m[2]}" if not m[3] else f"{m[1]}{{t_{name}}}{m[3]}"
-                return m[0]
-
-            text = parts[i].replace("{", "{{").replace("}", "}}")
-            parts[i] = re.sub(r"(\b(?:FROM|JOIN|,)\s+)([A-Za-z_]\w*)\b(?!\s*[.(])(\s+AS\s+\w+|\s+(?!(?:ON|WHERE|GROUP|ORDER|HAVING|LIMIT|OFFSET|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|UNION|INTERSECT|EXCEPT|USING|SEMI|ANTI|NATURAL|LATERAL|WINDOW)\b)[A-Za-z_]\w*)?", named, text, flags=re.I)
-        for i in range(1, len(parts), 2):
-            parts[i] = parts[i].replace("{", "{{").replace("}", "}}")
-        return self.spark.sql("".join(parts), **used) if used else self.spark.sql(_spelled(query))
+        words = set(re.findall(r"\w+", query.lower()))
+        with _ANALYSIS, _views(self.spark, {n: d for n, d in self.tables.items() if set(re.findall(r"\w+", n)) <= words}):
+            out = self.spark.sql(_spelled(query))
+            out.schema  # noqa: B018 - analysed while the views stand
+            return out
 
 
 def sql(frame: Frame | DataFrame, query: str) -> DataFrame:

@@ -91,9 +91,9 @@ def cast_fill_null(spark, d):
     return nulled(spark, d).select("o_orderkey", col("s").fill_null("?").alias("s"), col("p").fill_null(0.0).alias("p"), k.cast("string").alias("k"), col("s").cast("bigint").alias("bad")).df
 
 
-@query("sort_nulls_last", f"SELECT o_orderkey, p FROM ({_NULLED}) ORDER BY p DESC NULLS LAST, o_orderkey LIMIT 500")
+@query("sort_nulls_last", f"SELECT o_orderkey, p FROM ({_NULLED}) ORDER BY p DESC NULLS LAST, o_orderkey")
 def sort_nulls_last(spark, d):
-    return nulled(spark, d).sort("p", "o_orderkey", descending=[True, False]).head(500).select("o_orderkey", "p").df
+    return nulled(spark, d).sort("p", "o_orderkey", descending=[True, False]).select("o_orderkey", "p").df
 
 
 @query("sort_whole", f"SELECT o_orderkey, p, CAST(row_number() OVER (ORDER BY p DESC NULLS LAST, o_orderkey) - 1 AS INTEGER) AS row_nr FROM ({_NULLED})")
@@ -150,15 +150,17 @@ def unpivot(spark, d):
     return f.melt(["p_partkey"], ["p_size", "p_retailprice"]).df
 
 
-_L = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0"
-_R = "SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k, c_name, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0"
+#: Keys of odd customers lie elsewhere, so that both sides have rows without a partner; a few keys are null on both sides.
+_L = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS k, o_totalprice AS v FROM orders"
+_R = "SELECT CASE WHEN c_custkey % 500 = 0 THEN NULL WHEN c_custkey % 2 = 1 THEN c_custkey + 100000000 ELSE c_custkey END AS k, c_name, c_acctbal AS v FROM customer"
 
 
 def sides(spark, d):
     o, c = col("o_orderkey"), col("c_custkey")
-    left = frame(spark, d, "orders", "o_orderkey").filter((o % 3).ne(lit(0).cast("bigint"))).select(o, when((o % 5).eq(lit(0).cast("bigint"))).then(lit(None).cast("bigint")).otherwise(col("o_custkey")).alias("k"), col("o_totalprice").alias("v"))
-    right = frame(spark, d, "customer", "c_custkey").filter((c % 2).eq(lit(0).cast("bigint"))).select(when((c % 50).eq(lit(0).cast("bigint"))).then(lit(None).cast("bigint")).otherwise(c).alias("k"), "c_name", col("c_acctbal").alias("v"))
-    return left, right
+    zero = lit(0).cast("bigint")
+    left = frame(spark, d, "orders", "o_orderkey").select(o, when((o % 5).eq(zero)).then(lit(None).cast("bigint")).otherwise(col("o_custkey")).alias("k"), col("o_totalprice").alias("v"))
+    key = when((c % 500).eq(zero)).then(lit(None).cast("bigint")).when((c % 2).ne(zero)).then(c + 100_000_000).otherwise(c)
+    return left, frame(spark, d, "customer", "c_custkey").select(key.alias("k"), "c_name", col("c_acctbal").alias("v"))
 
 
 def _join(how, sql):

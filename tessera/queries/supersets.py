@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import expr as E
-from tessera.operators.expr import col, lit
+from tessera.operators.expr import col, lit, when
 from tessera.operators.frame import Frame
 from tessera.plans.sql import SqlContext, sql
 from tessera.queries.base import frame, query, table
@@ -151,12 +151,12 @@ def group_dynamic(spark, d):
     return out.withColumn("s", F.round("s", 4))
 
 
-@query("set_operations", "(SELECT o_custkey AS k, 'both' AS part FROM orders INTERSECT SELECT c_custkey, 'both' FROM customer WHERE c_custkey % 2 = 0) UNION ALL (SELECT c_custkey, 'never' FROM customer EXCEPT SELECT o_custkey, 'never' FROM orders)")
+@query("set_operations", "(SELECT o_custkey AS k, 'both' AS part FROM orders INTERSECT SELECT CASE WHEN c_custkey % 2 = 1 THEN c_custkey + 100000000 ELSE c_custkey END, 'both' FROM customer) UNION ALL (SELECT c_custkey, 'never' FROM customer EXCEPT SELECT o_custkey, 'never' FROM orders)")
 def set_operations(spark, d):
     o = frame(spark, d, "orders").select(col("o_custkey").alias("k"))
     c = frame(spark, d, "customer").select(col("c_custkey").alias("k"))
-    even = c.filter((col("k") % 2).eq(lit(0).cast("bigint")))
-    return o.intersect(even).df.withColumn("part", F.lit("both")).unionByName(c.except_(o).df.withColumn("part", F.lit("never")))
+    moved = c.select(when((col("k") % 2).eq(lit(0).cast("bigint"))).then(col("k")).otherwise(col("k") + 100_000_000).alias("k"))
+    return o.intersect(moved).df.withColumn("part", F.lit("both")).unionByName(c.except_(o).df.withColumn("part", F.lit("never")))
 
 
 @query("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -178,7 +178,8 @@ def approx_distinct(spark, d):
 @query("range_join", "SELECT p.p_partkey, count(*) AS n FROM part p JOIN supplier s ON s.s_acctbal BETWEEN p.p_retailprice - 50 AND p.p_retailprice + 50 GROUP BY 1")
 def range_join(spark, d):
     p, s = frame(spark, d, "part"), frame(spark, d, "supplier")
-    return p.join_where(s, F.expr("r.s_acctbal BETWEEN l.p_retailprice - 50 AND l.p_retailprice + 50")).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    near = p.select("p_partkey", (col("p_retailprice") - 50.0).alias("low"), (col("p_retailprice") + 50.0).alias("high"))
+    return near.join_range(s, "low", "high", "s_acctbal").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("udaf_range", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY c_mktsegment")

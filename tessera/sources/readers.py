@@ -112,6 +112,12 @@ def read_csv_lines(spark: SparkSession, lines: DataFrame | str, options: CsvOpti
 scan_csv = read_csv
 
 
+def read_csv_batches(spark: SparkSession, path: str, options: CsvOptions | None = None, **kw):
+    """Lists of batch_rows rows, partition by partition (row 6)."""
+    opts = options or CsvOptions(**kw)
+    return read_csv(spark, path, opts).batches(opts.batch_rows)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, order: list[str] | None = None) -> Frame:
     """Filters and columns reach the files. Without `order`, rows are numbered as they are read."""
     df = spark.read.parquet(path)
@@ -124,15 +130,9 @@ scan_parquet = read_parquet
 ROOTS = ("data", "rows", "items", "records")
 
 
-def _from_texts(df: DataFrame, infer_rows: int) -> DataFrame:
-    """Rows of texts and nested columns -> typed: nested values stay, text columns are inferred bool to double."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    kinds = infer(df, texts, infer_rows, dates=False) if texts else {}
-    return df.select(*[_parsed(F.col(f"`{c}`"), kinds[c]).alias(c) if kinds.get(c, "string") != "string" else F.col(f"`{c}`") for c in df.columns])
-
-
-def read_json(spark: SparkSession, path: str, infer_rows: int = 1000) -> Frame:
-    """A root array, or an object that holds the rows under one of ROOTS (row 13); comments are allowed."""
+def read_json(spark: SparkSession, path: str) -> Frame:
+    """A root array, or an object that holds the rows under one of ROOTS (row 13); comments are allowed. Types come from all
+    rows: boolean, bigint, double or string; nested values stay nested (row 15)."""
     df = spark.read.option("multiLine", True).option("allowComments", True).json(path)
     return Frame(_rooted(df))
 

@@ -53,7 +53,7 @@ def csv_text(frame, header: bool = True, separator: str = ",", null: str = "", p
     return "\n".join([separator.join(df.columns)] * header + rows) + "\n"
 
 
-def write_parquet(frame, path: str, compression: str = "snappy", mode: str = "overwrite", partition_by=(), bucket=None) -> None:
+def write_parquet(frame, path: str, compression: str = "snappy", mode: str = "overwrite", partition_by=()) -> None:
     w = _plain(frame).write.mode(mode).option("compression", compression)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
