@@ -5,10 +5,10 @@ part; parts and blocks follow ascending (doc_id, text hash). A block holds whole
 
 - ``doc_ids``: their ids (null allowed), in order;
 - ``ends``: little-endian uint32 per document: how many of the block's ids come before its end;
-- ``selectors`` / ``words``: the packed ids. Each 64-bit little-endian word carries
-  4 selector bits (kept apart, one byte per word, so that decoding groups words by selector) and
-  60 payload bits. Selector s packs COUNT[s] ids of WIDTH[s] bits, lowest bits first;
-  selector 15 is the escape: one raw 64-bit value.
+- ``words``: the packed ids, little-endian 64-bit words. The top 4 bits of a word are its selector,
+  the other 60 its payload. Selector s packs COUNT[s] ids of WIDTH[s] bits, lowest bits first;
+  selector 15 is the escape: one id of up to 59 bits, or, with payload bit 59 set, the upper 32 bits of the
+  id whose lower 32 the next word (an escape too) holds.
 
 A block's rows say how many ids it holds, so any block decodes alone; offsets of a block in the
 whole stream are prefix sums over parts and blocks.
@@ -38,20 +38,20 @@ from .kernels import buffers, slide, word_hashes
 COUNT = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 WIDTH = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 ESCAPE = 15
+_UPPER = 1 << 59
 BLOCK_IDS = 1 << 16
 #: Distinct pieces that a worker keeps with their ids before it starts anew.
 CACHE_PIECES = 700_000
 
-_BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<bigint>, ends binary, selectors binary, words binary"
+_BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<bigint>, ends binary, words binary"
 
 
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy Simple-8b: (selectors uint8, words uint64). Each word takes the longest run that fits;
-    a value of over 30 bits takes an escape word."""
+def pack(ids: np.ndarray) -> np.ndarray:
+    """Greedy Simple-8b words. Each takes the longest run that fits; a value of over 30 bits takes an escape, or two."""
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
     if n == 0:
-        return np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     best = np.full(n, ESCAPE, np.uint8)
     for s in range(len(COUNT) - 1, -1, -1):  # from few ids to many: the last that fits is the longest
         c, w = COUNT[s], WIDTH[s]
@@ -69,36 +69,39 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = nxt[i]
     at = np.array(at, np.int64)
     sel = best[at]
-    out = np.zeros(len(at), np.uint64)
-    for s in np.unique(sel):
+    out = sel.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(sel[sel != ESCAPE]):
         rows = np.flatnonzero(sel == s)
-        if s == ESCAPE:
-            out[rows] = ids[at[rows]]
-            continue
         c, w = COUNT[s], WIDTH[s]
-        if w == 0:
-            continue
-        for j in range(c):
+        for j in range(c if w else 0):
             out[rows] |= ids[at[rows] + j] << np.uint64(j * w)
-    return sel, out
+    rows = np.flatnonzero(sel == ESCAPE)
+    if len(rows):
+        big = ids[at[rows]]
+        wide = big >= np.uint64(_UPPER)
+        out[rows] |= np.where(wide, big & np.uint64(0xFFFFFFFF), big)
+        upper = (np.uint64(ESCAPE) << np.uint64(60)) | np.uint64(_UPPER) | (big[wide] >> np.uint64(32))
+        out = np.insert(out, rows[wide], upper)
+    return out
 
 
-def unpack(sel: np.ndarray, words: np.ndarray) -> np.ndarray:
+def unpack(words: np.ndarray) -> np.ndarray:
     """The ids of packed words, one vector operation per selector and slot."""
+    sel = (words >> np.uint64(60)).astype(np.uint8)
+    upper = (sel == ESCAPE) & (words & np.uint64(_UPPER) != 0)
     n = np.array([*COUNT, 1], np.int64)[sel]
+    n[upper] = 0
     start = np.cumsum(n) - n
     out = np.zeros(int(n.sum()), np.uint64)
-    for s in np.unique(sel):
+    for s in np.unique(sel[sel != ESCAPE]):
         rows = np.flatnonzero(sel == s)
-        if s == ESCAPE:
-            out[start[rows]] = words[rows]
-            continue
         c, w = COUNT[s], WIDTH[s]
-        if w == 0:
-            continue
         mask = np.uint64((1 << w) - 1)
-        for j in range(c):
+        for j in range(c if w else 0):
             out[start[rows] + j] = (words[rows] >> np.uint64(j * w)) & mask
+    one = (sel == ESCAPE) & ~upper
+    out[start[one]] = words[one] & np.uint64(_UPPER - 1)
+    out[start[upper]] |= (words[upper] & np.uint64(0xFFFFFFFF)) << np.uint64(32)
     return out
 
 
@@ -277,12 +280,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, text
 
         def flush():
             flat = np.concatenate(ids)
-            sel, packed = pack(flat)
+            packed = pack(flat)
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "n_docs": pa.array([len(got)], pa.int32()),
                     "doc_ids": pa.array([got], pa.list_(pa.int64())), "ends": pa.array([np.array(ends, "<u4").tobytes()], pa.binary()),
-                    "selectors": pa.array([sel.tobytes()], pa.binary()), "words": pa.array([packed.astype("<u8").tobytes()], pa.binary()),
+                    "words": pa.array([packed.astype("<u8").tobytes()], pa.binary()),
                 }
             )
 
@@ -322,7 +325,7 @@ def read_tokens(files: Table) -> DataFrame:
     def kernel(batches):
         for b in batches:
             for r in b.to_pylist():
-                ids = unpack(np.frombuffer(r["selectors"], np.uint8), np.frombuffer(r["words"], "<u8")).astype("<u4")
+                ids = unpack(np.frombuffer(r["words"], "<u8")).astype("<u4")
                 ends = np.frombuffer(r["ends"], "<u4").astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 raw = ids.tobytes()

@@ -15,9 +15,16 @@ SCHEMA = "doc_id long, text string, part string, words int"
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=600))
 def test_pack_round_trip(ids):
-    sel, words = pack(np.array(ids, np.uint64))
-    assert len(sel) == len(words)
-    assert unpack(sel, words).tolist() == ids
+    words = pack(np.array(ids, np.uint64))
+    assert words.dtype == np.uint64
+    assert unpack(words).tolist() == ids
+
+
+def test_words_hold_selector_and_ids():
+    assert pack(np.zeros(240, np.uint64)).tolist() == [0]
+    assert pack(np.array([5, 7], np.uint64)).tolist() == [14 << 60 | 7 << 30 | 5]
+    assert pack(np.array([1 << 40], np.uint64)).tolist() == [15 << 60 | 1 << 40]
+    assert len(pack(np.array([1 << 63], np.uint64))) == 2
 
 
 CHARS = list("abst é×\n\n\t .,'  $12\u00a0\u0085\u2003ñßЖ中\x1c") + ["<|endoftext|>", "'s", " the", "don't", ".\n"]
