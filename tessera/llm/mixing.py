@@ -3,13 +3,15 @@
 Document rates r minimise sum size * (r log r - r + 1) subject to each margin's token constraint: the
 rates are exponential tilts exp(sum of the dual variables of a document's categories). The dual is
 convex; Newton iterations solve it on sums per cell of categories, which are all that gradient and
-Hessian need (within a margin the Hessian is diagonal, so a margin's iterations are column
-expressions; margins alternate). Rates become whole copies by systematic rounding along documents
-sorted by size, so that copies and words both stay near their expectation in every source.
+Hessian need and which are distributed sums. Of one margin the Hessian is diagonal, so its iterations are column
+expressions, category by category; several margins take joint steps with the whole Hessian. Rates become whole
+copies by systematic rounding along documents sorted by size, so that copies and words both stay near
+their expectation in every source.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ MOST = 3
 #: Documents of one source and size are ranked in so many parts.
 SALT = 64
 NEWTON_STEPS = 60
+#: Documented bound: categories with a target, of all margins, whose dual is solved jointly.
+CATEGORIES = 4096
+#: Sizes that one first-level prefix sum covers.
+SIZES = 256
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -63,44 +69,105 @@ def _newton(start: Column, tokens: Column, target: Column) -> Column:
 
 def balance(cells: DataFrame, margins: dict[str, DataFrame], rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
     """Solve the dual: cells (one column per margin, tokens) and per margin a frame (column, target) -> cells
-    with `rate`. Categories without a target row are free. One margin takes one pass."""
-    held = stash(cells.withColumn("log_rate", F.lit(0.0)), "cells")
-    for turn in range(rounds if len(margins) > 1 else 1):
-        for name, targets in margins.items():
-            t = targets.select(F.col(name).alias("_c"), F.col("target").cast("double").alias("_t"))
-            now = held.df.groupBy(name).agg(F.sum(F.col("tokens") * F.exp("log_rate")).alias("_n"))
-            dual = now.join(t, F.col(name).eqNullSafe(F.col("_c"))).select("_c", _newton(F.lit(0.0), F.col("_n"), F.col("_t")).alias("_d"))
-            new = stash(held.df.join(dual, F.col(name).eqNullSafe(F.col("_c")), "left").withColumn("log_rate", F.col("log_rate") + F.coalesce("_d", F.lit(0.0))).drop("_c", "_d"), "cells")
-            held.drop()
-            held = new
-        if len(margins) > 1:
-            worst = 0.0
-            for name, targets in margins.items():
-                t = targets.select(F.col(name).alias("_c"), F.col("target").cast("double").alias("_t"))
-                now = held.df.groupBy(name).agg(F.sum(F.col("tokens") * F.exp("log_rate")).alias("_n"))
-                gap = now.join(t, F.col(name).eqNullSafe(F.col("_c"))).agg(F.max(F.abs(F.col("_n") - F.col("_t")) / F.greatest("_t", F.lit(1.0)))).first()[0]
-                worst = max(worst, gap or 0.0)
-            if worst <= tolerance:
+    with `rate`. Categories without a target row are free; null is a category like others. Margins must agree in their totals."""
+    if len(margins) == 1:
+        ((name, targets),) = margins.items()
+        t = targets.select(F.col(name).alias("_c"), F.col("target").cast("double").alias("_t"))
+        now = cells.groupBy(name).agg(F.sum(F.col("tokens").cast("double")).alias("_n"))
+        dual = now.join(t, F.col(name).eqNullSafe(F.col("_c"))).select("_c", _newton(F.lit(0.0), F.col("_n"), F.col("_t")).alias("_d"))
+        dual = stash(dual, "dual").df
+        return cells.join(dual, F.col(name).eqNullSafe(F.col("_c")), "left").withColumn("rate", F.exp(F.coalesce("_d", F.lit(0.0)))).drop("_c", "_d")
+    return _joint(cells, margins, rounds, tolerance)[0]
+
+
+def _joint(cells: DataFrame, margins: dict[str, DataFrame], rounds: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Newton on all margins' dual variables at once: cells with `rate`, and how many steps it took.
+
+    A step solves Hessian * step = target - sums; the sums of a step come from one aggregation of the cells per pair of
+    margins, and numbers by category (CATEGORIES at most) reach the driver. Steps that do not lower the dual are halved.
+    """
+    spark, names = cells.sparkSession, list(margins)
+    number, target = {}, []
+    for m in names:
+        rows = margins[m].select(m, F.col("target").cast("double")).distinct().collect()
+        if len(target) + len(rows) > CATEGORIES:
+            raise ValueError(f"more than {CATEGORIES} categories have a target")
+        number[m] = [(r[0], len(target) + i) for i, r in enumerate(rows)]
+        target += [r[1] for r in rows]
+    held = cells
+    for m in names:
+        kind = cells.schema[m].dataType.simpleString()
+        # At most CATEGORIES rows.
+        at = spark.createDataFrame(number[m], f"`_c` {kind}, `_{m}` int")
+        held = held.join(F.broadcast(at), F.col(m).eqNullSafe(F.col("_c")), "left").drop("_c")
+    held = stash(held, "cells")
+    target = np.array(target)
+    dual, move, size = np.zeros(len(target)), np.zeros(len(target)), np.inf
+
+    def tilted(x):
+        df = held.df.withColumn("_log", F.lit(0.0))
+        for m in names:
+            values = spark.createDataFrame([(k, float(x[k])) for _, k in number[m]], f"`_k` int, `_{m}_x` double")
+            df = df.join(F.broadcast(values), F.col(f"_{m}") == F.col("_k"), "left").drop("_k")
+            df = df.withColumn("_log", F.col("_log") + F.coalesce(f"_{m}_x", F.lit(0.0))).drop(f"_{m}_x")
+        return df.withColumn("_now", F.col("tokens") * F.exp("_log"))
+
+    def sums(x):
+        """The dual's value, gradient and Hessian."""
+        now = tilted(x)
+        parts = [now.groupBy(F.col(f"_{a}").alias("i"), F.col(f"_{b}").alias("j")).agg(F.sum("_now").alias("s")) for p, a in enumerate(names) for b in names[p:]]
+        parts.append(now.agg(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.sum("_now").alias("s")))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        h, total = np.zeros((len(x), len(x))), 0.0
+        for i, j, s in every.filter("i is not null and j is not null").collect():
+            if i < 0:
+                total = s or 0.0
+            else:
+                h[i, j] = h[j, i] = s
+        return total - target @ x, np.diag(h) - target, h
+
+    step = 0
+    value, gradient, hessian = sums(dual)
+    for step in range(1, rounds + 1):
+        if np.abs(gradient).max(initial=0.0) <= tolerance * max(target.max(initial=0.0), 1.0):
+            step -= 1
+            break
+        # Margins that cover the same tokens make the Hessian singular along their constants: least squares.
+        move = np.linalg.lstsq(hessian, -gradient, rcond=1e-12)[0]
+        move *= min(1.0, 2.0 / max(np.abs(move).max(), 1e-300))
+        for _ in range(30):
+            size, slope, curve = sums(dual + move)
+            if size <= value + 1e-12 * abs(value):
                 break
-    return held.df.withColumn("rate", F.exp("log_rate")).drop("log_rate")
-
-
-def rates_to_copies(rows: DataFrame, cell: str, rate: str, size: str, doc_id: str) -> DataFrame:
-    """rows with `copies`: along each cell's documents by (size, doc_id mod SALT, doc_id), copies are the steps of
-    the rounded running sum of rates. Prefix sums go through counts per (cell, size, part), a table whose
-    length sizes bound; documents of one such group are ranked among themselves."""
-    part = F.coalesce(F.pmod(F.col(doc_id), F.lit(SALT)), F.lit(SALT)).cast("int")
-    rows = rows.withColumn("_part", part)
-    keys = [cell, size, "_part"]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    first = stash(counts.withColumn("_first", F.sum("_m").over(W.partitionBy(cell).orderBy(size, "_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_m")).drop("_m"), "first")
-    f = first.small().select(F.col(cell).alias("_k0"), F.col(size).alias("_k1"), F.col("_part").alias("_k2"), "_first")
-    ranked = rows.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(doc_id).asc_nulls_last())))
+            move /= 2
+        dual, value, gradient, hessian = dual + move, size, slope, curve
+    return tilted(dual).withColumn("rate", F.exp("_log")).select(*cells.columns, "rate"), step
+
+
+def rates_to_copies(rows: DataFrame, cell: str, rate: str, size: str, doc_id: str, text_hash: str) -> DataFrame:
+    """rows with `copies`: along each cell's documents by (size, part, doc_id, text hash), copies are the steps of
+    the rounded running sum of rates; the part is doc_id mod SALT, or for a null id SALT and more by the text's hash.
+    Rows that agree in all of these are alike, so reruns give the same copies. Nulls are a cell of their own.
+
+    Prefix sums go through counts per (cell, size, part), in two levels: per SIZES sizes of a cell, and inside these."""
+    part = F.coalesce(F.pmod(F.col(doc_id), F.lit(SALT)), SALT + F.pmod(F.col(text_hash), F.lit(SALT))).cast("int")
+    rows = rows.withColumn("_part", part).withColumn("_range", F.floor(F.col(size) / SIZES))
+    keys = [cell, "_range", size, "_part"]
+    counts = stash(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), "counts")
+    before = lambda by, order: F.sum("_m").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_m")
+    ranges = counts.df.groupBy(cell, "_range").agg(F.sum("_m").alias("_m")).select(F.col(cell).alias("_k0"), F.col("_range").alias("_k1"), before([cell], ["_range"]).alias("_base"))
+    inner = counts.df.select(*keys, before([cell, "_range"], [size, "_part"]).alias("_inner"))
+    first = inner.join(ranges, F.col(cell).eqNullSafe(F.col("_k0")) & (F.col("_range") == F.col("_k1"))).select(*keys, (F.col("_base") + F.col("_inner")).alias("_first"))
+    f = stash(first, "first").small().select(F.col(cell).alias("_k0"), F.col(size).alias("_k1"), F.col("_part").alias("_k2"), "_first")
+    counts.drop()
+    ranked = rows.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(doc_id).asc_nulls_last(), text_hash)))
     ranked = ranked.join(f, F.col(cell).eqNullSafe(F.col("_k0")) & (F.col(size) == F.col("_k1")) & (F.col("_part") == F.col("_k2")))
     at = F.col("_first") + F.col("_i")
     r = F.round(F.col(rate), 9)
     copies = (F.floor(r * at + 0.5) - F.floor(r * (at - 1) + 0.5)).cast("long")
-    return ranked.withColumn("copies", F.least(copies, F.lit(MOST).cast("long"))).drop("_part", "_first", "_i", "_k0", "_k1", "_k2")
+    return ranked.withColumn("copies", F.least(copies, F.lit(MOST).cast("long"))).drop("_part", "_range", "_first", "_i", "_k0", "_k1", "_k2")
 
 
 def mix_plan(df: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -111,7 +178,7 @@ def mix_plan(df: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_i
     """
     col = lambda c: F.col(f"`{c}`") if c in df.columns else F.lit(None)
     rows = df.select(
-        col(doc_id).cast("long").alias("doc_id"), col(source).cast("string").alias("source"), text_size(text_column(df, text)).alias("size"),
+        col(doc_id).cast("long").alias("doc_id"), col(source).cast("string").alias("source"), text_size(text_column(df, text)).alias("size"), F.xxhash64(text_column(df, text)).alias("_text"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry")] if carry else []),
     )
     held = stash(rows, "sizes")
@@ -121,7 +188,7 @@ def mix_plan(df: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_i
     plan = targets.df.withColumnRenamed("source", "_s").join(rated.select(F.col("source").alias("_r"), "rate"), F.col("_s").eqNullSafe(F.col("_r"))).select("_s", "source_size", "target", "rate")
     plan = stash(plan, "plan").small()
     rows = held.df.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return rates_to_copies(rows, "source", "rate", "size", "doc_id").withColumn("taken", F.col("copies") * F.col("size"))
+    return rates_to_copies(rows, "source", "rate", "size", "doc_id", "_text").drop("_text").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix_documents(df: DataFrame, **names) -> DataFrame:
