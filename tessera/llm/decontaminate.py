@@ -8,6 +8,8 @@ not empty, is one window) ends at a word whose matched length reaches the window
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from .kernels import alnum_table, buffers, lower_table, word_hashes, words
 WINDOW = 13
 #: Item words in one automaton; more items go to further automata, each streamed over the documents.
 SHARD_WORDS = 2_000_000
+#: Words of a matching span above which it is cut from a document that stays.
+SPAN_WORDS = 50
 
 
 class Automaton:
@@ -142,7 +146,9 @@ def _shards(benchmark: DataFrame, item_id: str, text: str, shard_words: int):
     yield shard
 
 
-def _kernel(held, window: int):
+def _kernel(held, window: int, cut: int | None):
+    """(id, text, carried ..) -> carried columns and what was found; with cut, the text without spans of more words than that (null where it has none)."""
+
     def run(batches):
         lower, table = lower_table(), alnum_table()
         vocab, auto, names = held.value
@@ -173,6 +179,11 @@ def _kernel(held, window: int):
                     spans.setdefault(d, []).extend((x + base, y + base) for x, y in got)
                     found.setdefault(d, set()).update(items)
             rows = range(b.num_rows)
+
+            def cut_text(d, texts):
+                long_ = [v for x, y in spans.get(d, ()) if y - x > cut for v in (x, y)]
+                return remove_spans(texts[d].as_py(), long_) if long_ else None
+
             yield pa.RecordBatch.from_arrays(
                 [
                     *([c for c in b.columns[2:]]),
@@ -181,30 +192,28 @@ def _kernel(held, window: int):
                     pa.array([longest.get(d, 0) for d in rows], pa.int64()),
                     pa.array([[v for p in spans.get(d, ()) for v in p] for d in rows], pa.list_(pa.int32())),
                     pa.array([sorted(names[k] for k in found.get(d, ())) for d in rows], pa.list_(pa.string())),
+                    *([pa.array([cut_text(d, b.column(1)) for d in rows], pa.string())] if cut is not None else []),
                 ],
-                names=[*b.schema.names[2:], "n_words", "n_hit", "longest", "spans", "items"],
+                names=[*b.schema.names[2:], "n_words", "n_hit", "longest", "spans", "items", *(["clean"] if cut is not None else [])],
             )
 
     return run
 
 
-def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS, cut: int | None = None) -> DataFrame:
     """Per row of df: doc_id, df's columns as the struct _carry if asked, n_words, n_hit, longest match, spans (flat start, end word
-    pairs) and the ids of items with occurring windows.
+    pairs) and the ids of items with occurring windows; with `cut`, clean: the text without spans of more than `cut` words, null where it has none.
 
     Null texts and items have no words; items of null id are left out; two items of one id count once.
     An empty benchmark matches nothing. Repeated rows are judged each on its own. With more than
     shard_words item words, each shard streams over all rows of the same pass's output.
     """
     spark = df.sparkSession
-    out = None
-    shards = list(_shards(benchmark, item_id, item_text, shard_words))
-    out = df.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), text_column(df, text).alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_carry")] if carry else []))
-    one = len(shards) == 1
-    if not one:
-        out = out.withColumn("_row", F.monotonically_increasing_id())
-    total = None
-    for shard in shards:
+    ids = [F.col(f"`{doc_id}`").cast("long").alias("_d"), text_column(df, text).alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id")]
+    rows = df.select(*ids, *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_carry")] if carry else []))
+    found = "n_words long, n_hit long, longest long, spans array<int>, items array<string>"
+
+    def scanned(docs: DataFrame, shard, cut=None) -> DataFrame:
         vocab = np.unique(np.array([w for _, seq in shard for w in seq], np.uint64))
         number = {w: i for i, w in enumerate(vocab.tolist())}
         names = sorted({i for i, _ in shard})
@@ -213,16 +222,23 @@ def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry
         # Several rows may share an id: automaton items become id numbers.
         auto.whole = {s: frozenset(place[shard[k][0]] for k in v) for s, v in auto.whole.items()}
         held = Shipped(spark, (vocab, auto, names))
-        found = T.StructType.fromDDL("n_words long, n_hit long, longest long, spans array<int>, items array<string>")
-        part = out.mapInArrow(_kernel(held, window), T.StructType(out.schema.fields[2:] + found.fields))
-        total = part if total is None else total.unionByName(part)
-    total = stash(total, "matched").df
-    if one:
-        return total
-    # Further shards: the rows of one document meet again, few and short.
-    keys = [f.name for f in out.schema.fields[2:]]
+        return docs.mapInArrow(_kernel(held, window, cut), T.StructType(docs.schema.fields[2:] + T.StructType.fromDDL(found + (", clean string" if cut is not None else "")).fields))
+
+    shards = _shards(benchmark, item_id, item_text, shard_words)
+    shard, more = next(shards), next(shards, None)
+    if more is None:
+        return stash(scanned(rows, shard, cut), "matched").df
+    # Further shards: the driver holds two at a time. Rows are numbered once, in a table that every shard reads, and what the
+    # shards found of a row, short lists, meets under its number.
+    rows = stash(rows.withColumn("_row", F.monotonically_increasing_id()), "rows").df
+    narrow = rows.select("_d", "text", "_row")
+    parts = [stash(scanned(narrow, shard), "part").df]
+    while more is not None:
+        parts.append(stash(scanned(narrow, more), "part").df)
+        more = next(shards, None)
+    total = functools.reduce(lambda a, b: a.unionByName(b), parts)
     rest = total.groupBy("_row").agg(
-        *[F.first(k).alias(k) for k in keys if k != "_row"], F.max("n_words").alias("n_words"), F.max("longest").alias("longest"),
+        F.max("n_words").alias("n_words"), F.max("longest").alias("longest"),
         F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("_s") / 2).cast("int") - 1), lambda i: F.struct(F.get("_s", i * 2).alias("a"), F.get("_s", i * 2 + 1).alias("z"))))
@@ -230,7 +246,36 @@ def match_items(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry
     empty = F.array().cast("array<struct<a:int,z:int>>")
     merged = F.aggregate(pairs, empty, lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["z"] >= p["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["z"], p["z"]).alias("z"))))).otherwise(F.concat(acc, F.array(p))))
     rest = rest.withColumn("_m", merged)
-    return rest.select(*[k for k in keys if k != "_row"], "n_words", F.aggregate("_m", F.lit(0).cast("long"), lambda acc, p: acc + (p["z"] - p["a"]).cast("long")).alias("n_hit"), "longest", F.flatten(F.transform("_m", lambda p: F.array(p["a"], p["z"]))).alias("spans"), "items")
+    hit = F.aggregate("_m", F.lit(0).cast("long"), lambda acc, p: acc + (p["z"] - p["a"]).cast("long"))
+    rest = rest.select("_row", "n_words", hit.alias("n_hit"), "longest", F.flatten(F.transform("_m", lambda p: F.array(p["a"], p["z"]))).alias("spans"), "items")
+    kept = [f.name for f in rows.schema.fields[2:] if f.name != "_row"]
+    out = rows.select("text", "_row", *kept).join(rest, "_row")
+    if cut is None:
+        return out.select(*kept, "n_words", "n_hit", "longest", "spans", "items")
+
+    def cleaned(batches):
+        for b in batches:
+            texts, spans = b.column(0), b.column(1).to_pylist()
+            long_ = [[v for x, y in zip(s[::2], s[1::2]) if y - x > cut for v in (x, y)] for s in spans]
+            clean = pa.array([remove_spans(texts[i].as_py(), v) if v else None for i, v in enumerate(long_)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], clean], names=[*b.schema.names[1:], "clean"])
+
+    flat = out.select("text", "spans", *kept, "n_words", "n_hit", "longest", "items")
+    done = flat.mapInArrow(cleaned, T.StructType([*flat.schema.fields[1:], T.StructField("clean", T.StringType())]))
+    return done.select(*kept, "n_words", "n_hit", "longest", "spans", "items", "clean")
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, span_words: int = SPAN_WORDS, percent: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows without those beyond the coverage limit (`contaminated`); of the others, spans of more than span_words
+    words go from the text, with what stands between their words. df's columns; n_chars, where df has it, follows a changed text.
+
+    Null and empty texts stay as they are; so do all rows where the benchmark is empty.
+    """
+    found = match_items(df, benchmark, window, carry=True, doc_id=doc_id, text=text, cut=span_words)
+    stays = found.filter(~F.coalesce(contaminated(F.col("n_hit"), F.col("n_words"), percent), F.lit(False)))
+    own = lambda c: F.col("_carry").getField(c)
+    new = {text: F.coalesce("clean", own(text)), "n_chars": F.when(F.col("clean").isNull(), own("n_chars")).otherwise(F.length("clean"))} if "n_chars" in df.columns else {text: F.coalesce("clean", own(text))}
+    return stays.select(*[(new[c].cast(df.schema[c].dataType) if c in new else own(c)).alias(c) for c in df.columns])
 
 
 def remove_spans(text: str | None, spans: list[int]) -> str | None:

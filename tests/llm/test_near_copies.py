@@ -6,13 +6,14 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.decontaminate import contaminated, match_items, remove_spans
+from tessera.llm.decontaminate import contaminated, decontaminate, match_items, remove_spans
 from tessera.llm.jaccard_join import divide_skip, drop_near_copies, jaccard_components, needed
-from tessera.llm.mixing import balance, mix_documents, mix_plan
+from tessera.llm.mixing import _joint, balance, mix_documents, mix_plan
 from tessera.llm.quality_rules import filter_documents, score_documents
 from tessera.llm.substring_dedup import Repeats, remove_repeats
 
@@ -248,3 +249,46 @@ def test_two_margins_balance(spark):
     got = balance(cells, m).collect()
     for c, k, t in (("s", "a", 120), ("s", "b", 180), ("l", "x", 150), ("l", "y", 150)):
         assert sum(r["tokens"] * r["rate"] for r in got if r[c] == k) == pytest.approx(t, rel=1e-6)
+
+
+def test_joint_newton_takes_fewer_steps_than_raking(spark):
+    """Two margins that hang together closely: the whole Hessian sees it, one margin after the other does not."""
+    tokens = np.array([[1000.0, 5.0], [4.0, 900.0]])
+    a, b = np.array([700.0, 1209.0]), np.array([800.0, 1109.0])
+    rows = [(s, l, float(tokens[i, j])) for i, s in enumerate("ab") for j, l in enumerate("xy")]
+    cells = spark.createDataFrame(rows, "s string, l string, tokens double")
+    m = {"s": spark.createDataFrame(list(zip("ab", a.tolist())), "s string, target double"), "l": spark.createDataFrame(list(zip("xy", b.tolist())), "l string, target double")}
+    got, steps = _joint(cells, m, 50, 1e-9)
+    rate = {(r["s"], r["l"]): r["rate"] for r in got.collect()}
+    now, rounds = tokens.copy(), 0
+    while max(np.abs(now.sum(1) - a).max(), np.abs(now.sum(0) - b).max()) > 1e-6:
+        now *= (a / now.sum(1))[:, None]
+        now *= b / now.sum(0)
+        rounds += 1
+    assert steps < 15 < rounds
+    for i, s in enumerate("ab"):
+        for j, l in enumerate("xy"):
+            assert rate[s, l] == pytest.approx(now[i, j] / tokens[i, j], rel=1e-5)
+
+
+def test_mix_breaks_ties_by_text(spark):
+    """Rows of one doc_id (or none) and size, with other texts: the same copies however they are dealt."""
+    rows = [(7, f"w{i} x", "en", f"s{i % 2}") for i in range(40)] + [(None, f"v{i} y", "en", "s0") for i in range(30)] + [(100 + i, "a b c d", "en", "s2") for i in range(9)]
+    df = table(spark, rows)
+    text = lambda n: sorted(r["text"] for r in mix_documents(df.repartition(n)).collect())
+    assert text(1) == text(3) == text(7)
+
+
+@pytest.mark.parametrize("shard", [2_000_000, 60])
+def test_decontaminate_drops_documents_and_cuts_long_spans(spark, shard):
+    item = [f"i{k}" for k in range(60)]
+    clean = [f"c{k}" for k in range(3000)]
+    inside = " ".join(clean[:1500]) + " " + " ".join(item) + ", " + " ".join(clean[1500:])
+    short = " ".join(clean[:1500] + item[:20] + clean[1500:])
+    rows = [(1, inside, "en", "s"), (2, " ".join(item + clean[:100]), "en", "s"), (3, short, "en", "s"), (4, None, "en", "s"), (5, "", "en", "s")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"j{k}" for k in range(40)))], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontaminate(table(spark, rows), bench).collect()}
+    assert got == {1: " ".join(clean[:1500]) + " , " + " ".join(clean[1500:]), 3: short, 4: None, 5: ""}
+    found = {r["doc_id"]: r["clean"] for r in match_items(table(spark, rows), bench, cut=50, shard_words=shard).collect()}
+    assert found[1] == got[1] and found[3] is None and found[4] is None
+    assert decontaminate(table(spark, rows), bench).columns == table(spark, rows).columns
