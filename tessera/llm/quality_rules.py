@@ -11,6 +11,8 @@ a step is a quantile sketch and sums, both combined before the shuffle.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,13 @@ MAX_REPEAT_PERCENT = 50
 SUPPORT = 0.75
 STEPS = 4
 MIN_GROUP = 60
-#: Outlier cutoff on the squared robust distance. Transformed text statistics have longer tails than the
-#: normal law that the usual chi-square quantile assumes, so the cutoff is a distance, not a probability.
-CUTOFF = 300.0
+#: Share of clean documents that the cutoff may reject. Transformed text statistics have longer tails than the normal law
+#: behind the usual chi-square quantile: the logarithm of their squared robust distances is about normal. Its centre is each
+#: group's own median, its spread that of all rows around their group's, by the median absolute deviation; neither follows
+#: the outliers while they are fewer than half.
+TAIL = 2e-4
+#: Least centre and spread of the logarithm: a squared distance of 1, and the spread of a chi-square of DIM degrees.
+LEAST_CENTRE, LEAST_SPREAD = 0.0, 0.7
 #: Smallest standard deviation per coordinate, in units of the transformed statistics.
 FLOORS = (0.05, 0.15, 0.15, 0.15, 0.03)
 
@@ -148,7 +154,7 @@ def _steps(rows: Table, start: DataFrame, key: str) -> Table:
 
 def mcd(rows: Table, key: str) -> Table:
     """rows (key, x0..) -> per key the better of two MCD estimates with the distance scale that makes the
-    median squared distance that of a normal sample."""
+    median squared distance that of a normal sample, and the cutoff of the scaled squared distance (see TAIL)."""
     med = [F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(_X)]
     centre = stash(rows.df.groupBy(key).agg(*med), "centre")
     dev = rows.df.join(centre.small(), key).select(key, *_X, *[f"m{i}" for i in range(DIM)])
@@ -168,14 +174,21 @@ def mcd(rows: Table, key: str) -> Table:
     # Median of chi-square with DIM degrees, by the cube-root (Wilson-Hilferty) formula.
     median = DIM * (1 - 2 / (9 * DIM)) ** 3
     scale = _distance(rows.df.join(best.small(), key)).groupBy(key).agg((F.greatest(F.percentile_approx("d2", 0.5, 2000), F.lit(median)) / median).alias("scale"))
-    out = stash(best.df.join(scale, key), "mcd")
-    for t in (centre, spread, best, *ends):
+    scaled = stash(best.df.join(scale, key), "scaled")
+    logs = _distance(rows.df.join(scaled.small(), key), F.col("scale")).select(key, F.log(F.greatest("d2", F.lit(1e-12))).alias("log"))
+    middle = stash(logs.groupBy(key).agg(F.greatest(F.percentile_approx("log", 0.5, 2000), F.lit(LEAST_CENTRE)).alias("middle")), "middle")
+    off = logs.join(middle.small(), key).agg((F.percentile_approx(F.abs(F.col("log") - F.col("middle")), 0.5, 10_000) * 1.4826).alias("s"))
+    z = NormalDist().inv_cdf(1 - TAIL)
+    # One row.
+    off = stash(off.select(F.greatest("s", F.lit(LEAST_SPREAD)).alias("s")), "off").df.scalar()
+    out = stash(scaled.df.join(middle.df, key).withColumn("cutoff", F.exp(F.col("middle") + z * off)).drop("middle"), "mcd")
+    for t in (centre, spread, best, scaled, middle, *ends):
         t.drop()
     return out
 
 
 def score_documents(df: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per row of df: doc_id, the counts, base_failed, distance (squared robust distance, null where base_failed) and kept,
+    """Per row of df: doc_id, the counts, base_failed, distance and cutoff (squared robust distances, null where base_failed) and kept,
     with the `carry` columns of df under their names.
 
     Null texts are empty and fail the base rules. Null lang or source is a group of its own; groups of
@@ -200,8 +213,8 @@ def score_documents(df: DataFrame, carry: list[str] | None = None, doc_id: str =
     est_small = F.broadcast(est_cols) if est.bytes <= (8 << 20) else est_cols
     out = _distance(keyed.join(est_small, "_key", "left"), F.col("scale"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = out.select(F.col("_doc").alias("doc_id"), *counts, "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("distance"), *(["_carry"] if carry else []))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+    out = out.select(F.col("_doc").alias("doc_id"), *counts, "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("distance"), F.when(~F.col("base_failed"), F.col("cutoff")).alias("cutoff"), *(["_carry"] if carry else []))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True)))
 
 
 def filter_documents(df: DataFrame, **names) -> DataFrame:
@@ -211,7 +224,7 @@ def filter_documents(df: DataFrame, **names) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "cutoff")
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}
