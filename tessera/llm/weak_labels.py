@@ -36,8 +36,6 @@ LABELLERS = (
     ("variety", 0.5, 0.7),  # log of different words per log of words
     ("letters", 0.7, 0.85),  # letters and bytes from 80 among the bytes of words
 )
-#: A labeller's bad votes are rare on good text: at most this share, whatever the counts say.
-FALSE_ALARM = 0.005
 GOOD, BAD, NONE = 1, 0, 2
 
 
@@ -123,10 +121,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tol
         for k in range(m):
             for c, p in ((GOOD, post), (BAD, 1 - post)):
                 hit = np.array([(weight * p * (patterns[:, k] == v)).sum() + 1.0 for v in (BAD, GOOD)])
-                q = hit / hit.sum()
-                if c == GOOD and q[BAD] > FALSE_ALARM:
-                    q = np.array([FALSE_ALARM, 1 - FALSE_ALARM])
-                table[k, c] = q
+                table[k, c] = hit / hit.sum()
         logit = np.full(n, np.log(prior / (1 - prior)))
         for k in range(m):
             for v in (BAD, GOOD):
@@ -211,16 +206,16 @@ def classify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", train_ro
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(text_column(df, text), F.lit("")).alias("text"))
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)))
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     voted = stash(hashed.mapInArrow(_vote_kernel, "doc_id long, pattern int, h long"), "votes")
     got = voted.df.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     m = len(LABELLERS)
     patterns = np.array([[r["pattern"] // 3**k % 3 for k in range(m)] for r in got], np.int64).reshape(-1, m)
     _, _, post = label_model(patterns, np.array([r["n"] for r in got], float))
     posterior = dict(zip([r["pattern"] for r in got], post.tolist()))
-    # The rows of least hash: a bounded sample, whatever the table's size.
-    edge = voted.df.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    sample = hashed.filter(F.col("h") <= F.lit(edge)).limit(2 * train_rows) if edge is not None else hashed.limit(0)
+    # The rows of least hash, repeated ones once: a bounded sample, the same in every run, whatever the table's size.
+    edge = voted.df.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    sample = hashed.filter(F.col("h") <= F.lit(edge) if edge is not None else F.lit(False)).dropDuplicates(["h"])
 
     def examples(batches):
         for b in pieces(batches):
