@@ -10,10 +10,9 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import stash, tracked
-from tessera.llm.decontaminate import contaminated, match_items
+from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import drop_near_copies
 from tessera.llm.mixing import mix_documents
 from tessera.llm.quality_rules import filter_documents
@@ -41,7 +40,7 @@ def stage(fn):
 
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are robust outliers of their language and source go."""
+    """Documents that fail the base rules or are robust outliers of their language and source go; null and empty texts fail, repeated rows are judged alike."""
     return filter_documents(docs)
 
 
@@ -56,20 +55,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go: those of which hit words are five in a hundred or more."""
-    found = match_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return found.filter(~F.coalesce(contaminated(F.col("n_hit"), F.col("n_words")), F.lit(False))).select("_carry.*")
+    """Contaminated documents go: those of which hit words are five in a hundred or more. Of the others, matching spans of over 50 words go.
+
+    Null and empty texts stay as they are.
+    """
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix to target weights says."""
+    """Documents come as often as the mix to target weights says; null texts and those without words count 0 words. Ties in size and doc_id are broken by the text."""
     return mix_documents(docs)
 
 
 @stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32. A null or empty text is its end id alone; null doc_ids come first, rows of one doc_id in the order of their texts."""
     return token_table(docs)
 
 
