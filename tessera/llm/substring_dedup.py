@@ -158,26 +158,39 @@ class Repeats:
         every = own.unionByName(copies.select("doc_id", "seq", F.lit(None).cast("array<int>").alias("starts")))
         return stash(every.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "starts")).alias("verdicts")), "removals")
 
-    def levels(self, max_levels: int | None = None) -> DataFrame:
-        """(doc_id, longest): the longest length of the doubling sequence at which a window of the document
-        repeats; goes on until no candidates survive or max_levels doublings are done."""
+    def _reach(self, max_levels: int | None) -> DataFrame:
+        """(doc_id, seq, longest): a row per level at which a window of the text repeats; level after level until no candidates survive."""
         length, now, out, turn = self.window, self.level, None, 0
         found = self.found
         while found.rows and (max_levels is None or turn <= max_levels):
-            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.df, "win")
+            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.small(), "win")
             alive = stash(each.distinct().groupBy("doc_id", "seq").agg(F.collect_list(F.struct("pos", "win")).alias("z")).select("doc_id", "seq", F.col("z.pos").alias("pos"), F.col("z.win").alias("win")), "alive")
-            reach = alive.df.select("doc_id", F.lit(length).alias("longest"))
+            reach = stash(alive.df.select("doc_id", "seq", F.lit(length).alias("longest")), "reach").df
             out = reach if out is None else out.unionByName(reach)
+            if turn:
+                now.drop()
+                found.drop()
             now = stash(alive.df.mapInArrow(_double(length), _LEVEL), "level")
+            alive.drop()
+            free_shuffles(self.spark)
             found = _repeats(now.df)
             length, turn = 2 * length, turn + 1
         if out is None:
-            return self.scan.df.select("doc_id", F.lit(0).alias("longest")).limit(0)
-        return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+            return self.scan.df.select("doc_id", "seq", F.lit(0).alias("longest")).limit(0)
+        return out
+
+    def levels(self, max_levels: int | None = None) -> DataFrame:
+        """(doc_id, longest): the longest length of the doubling sequence at which a window of the document
+        repeats; goes on until no candidates survive or max_levels doublings are done."""
+        return self._reach(max_levels).groupBy("doc_id").agg(F.max("longest").alias("longest"))
+
+    def lengths(self) -> Table:
+        """(seq, longest): the same by text, whole copies having the same."""
+        return stash(self._reach(None).groupBy("seq").agg(F.max("longest").cast("long").alias("longest")), "lengths")
 
 
-def _apply(window: int, with_text: bool):
-    """(doc_id, text, verdicts) -> (doc_id, n_words, n_removed, kept_sha256[, kept_text])."""
+def _apply(window: int, with_text: bool, with_seq: bool):
+    """(doc_id, text, verdicts) -> (doc_id, n_words, n_removed, kept_sha256[, kept_text][, seq])."""
 
     def run(batches):
         table = white_table()
@@ -209,19 +222,29 @@ def _apply(window: int, with_text: bool):
                 shas.append(hashlib.sha256(rest).hexdigest())
                 if with_text:
                     kept.append(rest.decode())
+            if with_seq:
+                data, off = buffers(b.column(1))
+                s, e, first = words(data, off, table)
+                h = word_hashes(data, s, e)
+                seqs = [_sequence_id(h[a:z]) if z - a >= window else None for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
             cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 cols.append(pa.array(kept, pa.string()))
                 names.append("kept_text")
+            if with_seq:
+                cols.append(pa.array(seqs, pa.int64()))
+                names.append("seq")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, with_longest: bool = False) -> DataFrame:
     """Per row of df: doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text, after removing each
-    word covered by a window of `window` words that also starts in a document of smaller doc_id.
+    word covered by a window of `window` words that also starts in a document of smaller doc_id. If asked,
+    `longest`: of the lengths window, 2 * window, .. the greatest at which a window of the text also
+    stands in a document of other text (0: none); the levels go on until no candidates survive.
 
     Equality of windows and texts is that of 64-bit hashes. Null and empty texts have no words. Rows of
     null doc_id are kept whole and make nothing else go. Texts of one doc_id don't remove each other.
@@ -229,14 +252,19 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
     found = Repeats(df, window, doc_id, text)
     gone = found.removals()
     rows = found.docs.join(gone.small(), "doc_id", "left").select("doc_id", "text", "verdicts")
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return stash(rows.mapInArrow(_apply(window, with_text), out), "kept").df
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "") + (", seq long" if with_longest else "")
+    kept = stash(rows.mapInArrow(_apply(window, with_text, with_longest), out), "kept").df
+    if not with_longest:
+        return kept
+    return kept.join(found.lengths().small(), "seq", "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("long"))).drop("seq")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False, with_longest=True)
 
 
+#: Lengths for the twin: enough doublings for texts of 51,199 words.
+_LENGTHS = [WINDOW * 2**i for i in range(11)]
 _ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, p, hash(array_to_string(w[p : p + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
@@ -244,9 +272,16 @@ m AS (SELECT s, min(doc_id) AS lo FROM g GROUP BY s),
 x AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS q FROM g JOIN m USING (s) WHERE doc_id > lo),
 r AS (SELECT doc_id, count(*) AS n, list(q) AS qs FROM x GROUP BY doc_id),
 u AS (SELECT d.doc_id, unnest(w) AS v, unnest(generate_series(1, len(w))) AS q FROM d),
-k AS (SELECT u.doc_id, string_agg(v, ' ' ORDER BY u.q) AS t FROM u LEFT JOIN x ON u.doc_id = x.doc_id AND u.q = x.q WHERE x.q IS NULL GROUP BY u.doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+k AS (SELECT u.doc_id, string_agg(v, ' ' ORDER BY u.q) AS t FROM u LEFT JOIN x ON u.doc_id = x.doc_id AND u.q = x.q WHERE x.q IS NULL GROUP BY u.doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS least FROM d WHERE len(w) >= 50),
+g50 AS (SELECT g.doc_id, p, s FROM g JOIN c USING (doc_id) WHERE doc_id = least),
+""" + ",\n".join(
+    f"g{2 * n} AS (SELECT doc_id, p, hash(s, t) AS s FROM (SELECT doc_id, p, s, lead(s, {n}) OVER (PARTITION BY doc_id ORDER BY p) AS t FROM g{n}) WHERE t IS NOT NULL)" for n in _LENGTHS[:-1]
+) + r""",
+a AS (""" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, {n} AS longest FROM g{n} JOIN (SELECT s FROM g{n} GROUP BY s HAVING count(DISTINCT doc_id) > 1) USING (s)" for n in _LENGTHS) + r"""),
+b AS (SELECT c.doc_id, max(longest) AS longest FROM c JOIN a ON a.doc_id = c.least GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN b ON d.doc_id = b.doc_id
 """
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
