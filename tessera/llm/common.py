@@ -90,11 +90,11 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.ex
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Bounded memory for Python workers: whole texts come in small batches; the session's settings return after."""
+def small_batches(spark: SparkSession, records: int | None = None):
+    """Bounded memory for Python workers: whole texts come in small batches (`records` rows, for narrow ones); the session's settings return after."""
     before = {k: spark.conf.get(k, None) for k in _BATCHES}
     try:
-        for k, v in _BATCHES.items():
+        for k, v in (_BATCHES | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})).items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -102,11 +102,11 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stash(df: DataFrame, name: str = "t", path: str | None = None, compression: str = "zstd") -> Table:
+def stash(df: DataFrame, name: str = "t", path: str | None = None, compression: str = "zstd", records: int | None = None) -> Table:
     """Write df to the shared folder and cut its lineage there; survives lost executors."""
     spark = df.sparkSession
     path = path or f"{work_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
-    with small_batches(spark):
+    with small_batches(spark, records):
         df.write.mode("overwrite").option("compression", compression).parquet(path)
     out = Table(spark, path, df.schema)
     for made in _OPEN:
