@@ -123,7 +123,22 @@ def ewm_grouped(spark, d):
     return out.select("event_id", F.round("e", 6).alias("e"))
 
 
-@query("ewm_var")
+_W2 = "(0.3 + 0.7 * w)"
+_LATER = "CASE WHEN t.v IS NULL THEN {same} WHEN n = 0 THEN {first} ELSE {later} END"
+
+
+@query(
+    "ewm_var",
+    _EWM.format(
+        init="v AS m, 0::DOUBLE AS c, 1::DOUBLE AS w, 1::DOUBLE AS q, (v IS NOT NULL)::INTEGER AS n",
+        step=", ".join([
+            _LATER.format(same="m", first="t.v", later=f"(0.3 * t.v + 0.7 * m * w) / {_W2}"),
+            _LATER.format(same="c", first="0", later=f"0.7 * (c + 0.3 * (t.v - m) * (t.v - m)) * ({_W2} * {_W2}) / ({_W2} * {_W2} - (0.09 + 0.49 * q))"),
+            _LATER.format(same="w", first="1", later=_W2), _LATER.format(same="q", first="1", later="0.09 + 0.49 * q"), "n + (t.v IS NOT NULL)::INTEGER",
+        ]),
+        out="CASE WHEN n >= 2 THEN ROUND(c, 6) END AS e, CASE WHEN n >= 2 THEN ROUND(sqrt(greatest(c, 0)), 6) END AS s",
+    ),
+)
 def ewm_var(spark, d):
     return _rounded(events(spark, d).with_columns(e=v.ewm_var(0.3).over("user_id"), s=v.ewm_std(0.3).over("user_id")).select("event_id", "e", "s"), "e", "s")
 
