@@ -13,8 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A working table is broadcast only while its files hold at most this many bytes.
-BROADCAST_BYTES = 24 << 20
+#: A working table is broadcast only while its files hold at most this many bytes (numbers that hardly compress: three to eight times as many in memory).
+BROADCAST_BYTES = 8 << 20
 #: Batches are cut into pieces of about this many text bytes before numpy touches them.
 PIECE_BYTES = 1 << 20
 
