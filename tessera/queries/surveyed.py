@@ -14,6 +14,7 @@ from tessera.operators.expr import col, lit, when
 from tessera.operators.frame import Frame
 from tessera.plans.sql import SqlContext, sql
 from tessera.queries.base import frame, query, table
+from tessera.sources import readers
 from tessera.streaming import streams
 
 _KINDS = {"sum": "sum(c_acctbal)", "mean": "avg(c_acctbal)", "median": "median(c_acctbal)", "min": "min(c_acctbal)", "max": "max(c_acctbal)", "std": "stddev_samp(c_acctbal)", "var": "var_samp(c_acctbal)"}
@@ -212,6 +213,53 @@ def sql_comma_join(spark, d):
     return context.sql("SELECT n_name, r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
 
 
+@query("csv_skip_rows", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def csv_skip_rows(spark, d):
+    """A folder of two files, each with two lines that do not count and a header of its own."""
+    from tessera.queries.supersets import scratch
+
+    path = scratch(spark)
+    for name, key, text in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        body = table(spark, d, name).select(F.struct(F.lit(1).alias("i"), F.col(key).alias("k")).alias("o"), F.concat_ws(",", F.col(key).cast("string"), text).alias("value"))
+        head = spark.createDataFrame([(0, 0, "a note, with a comma"), (0, 1, "second line"), (0, 2, "k,name")], "i int, k int, value string").select(F.struct("i", "k").alias("o"), "value")
+        head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.mode("append").text(path)
+    return readers.read_csv(spark, path, skip_rows=2).df
+
+
+@query("stream_first_rows", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
+def stream_first_rows(spark, d):
+    """One row of each user and type passes a stream that remembers what it has seen."""
+    from tessera.queries.supersets import scratch
+
+    source = table(spark, d, "events")
+    path = scratch(spark)
+    source.repartition(3).write.parquet(f"{path}/in")
+    rows = streams.read_stream(spark, f"{path}/in", source.schema, files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    once = streams.dedup(rows, ["user_id", "event_type"], "ts", "36500 days")
+    streams.run_to_end(once.select("user_id", "event_type"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT user_id, min(ts) AS window_start, count(*) AS n FROM s GROUP BY user_id, i")
+def stream_sessions(spark, d):
+    """Sessions of a stream of three files, complete once it has run."""
+    from tessera.queries.supersets import scratch
+
+    source = table(spark, d, "events")
+    path = scratch(spark)
+    source.repartition(3).write.parquet(f"{path}/in")
+    rows = streams.read_stream(spark, f"{path}/in", source.schema, files_per_trigger=1)
+    agg = streams.sessions(rows, "ts", "30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    got = []
+
+    def keep(batch, number):
+        batch.select("user_id", "window_start", "n").write.parquet(f"{path}/out/{number}")
+        got.append(number)
+
+    streams.run_batches(agg, keep, f"{path}/checkpoint", mode="complete")
+    return spark.read.parquet(f"{path}/out/{max(got)}")
+
+
 @query("stream_late_rows", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_late_rows(spark, d):
     """Rows of the second file are older than the watermark allows for any window that the first has closed: in append

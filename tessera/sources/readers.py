@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,20 +79,30 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None,
     """A file or folder; the schema comes from one job over a sample unless it is given whole."""
     opts = options or CsvOptions(**kw)
     if opts.skip_rows:
-        lines = spark.read.text(path).withColumn("_n", F.col("_metadata.file_block_start") * 0 + F.monotonically_increasing_id())
-        first = lines.orderBy("_n").limit(opts.skip_rows).agg(F.max("_n")).first()[0]
-        rest = lines.filter(F.col("_n") > F.lit(first if first is not None else -1)).orderBy("_n").select("value")
-        return read_csv_lines(spark, rest, opts)
+        return _without_heads(spark, path, opts)
     return Frame(_typed(_named(_reader(spark, opts).csv(path), opts), opts))
 
 
-def read_csv_lines(spark: SparkSession, lines: DataFrame | str, options: CsvOptions | None = None, **kw) -> Frame:
-    """CSV from a text, or from a frame with one text column of lines (row 5). A text is small by nature."""
+def _without_heads(spark: SparkSession, path: str, opts: CsvOptions) -> Frame:
+    """Files of which each begins with skip_rows lines that do not count, and then a header if there is one. Heads lie in a file's
+    first block; the others are read as they are."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    head = opts.skip_rows + bool(opts.header)
+    heads = lines.filter("b = 0").withColumn("k", F.row_number().over(W.partitionBy("f").orderBy("n"))).filter(F.col("k") <= head)
+    last = heads.groupBy("f").agg(F.max("n").alias("last"))
+    # A row per file, which the driver lists in any case; lines keep their order.
+    body = lines.join(F.broadcast(last), "f", "left").filter(F.col("n") > F.coalesce("last", F.lit(-1))).select("value")
+    first = heads.filter(F.col("k") == head).orderBy("f").select("value").first() if opts.header else None
+    return read_csv_lines(spark, body, replace(opts, skip_rows=0), names=first[0] if first else None)
+
+
+def read_csv_lines(spark: SparkSession, lines: DataFrame | str, options: CsvOptions | None = None, names: str | None = None, **kw) -> Frame:
+    """CSV from a text, or from a frame with one text column of lines (row 5). A text is small by nature. names: the header line, where it is not among the lines."""
     opts = options or CsvOptions(**kw)
     if isinstance(lines, str):
         rows = [(x,) for x in lines.splitlines()]
         lines = spark.createDataFrame(rows or [("",)], "value string").coalesce(1)
-    head = lines.first()[0]
+    head = names or lines.first()[0]
     shape = spark.createDataFrame([(head,)], "value string").select(F.schema_of_csv(F.lit(head), {"sep": opts.separator, "quote": opts.quote}).alias("s")).first()[0]
     n = len(T.StructType.fromDDL(shape[len("STRUCT<") : -1]) if shape.upper().startswith("STRUCT<") else T.StructType.fromDDL(shape))
     ddl = ", ".join(f"_c{i} string" for i in range(n))
@@ -99,7 +110,10 @@ def read_csv_lines(spark: SparkSession, lines: DataFrame | str, options: CsvOpti
     if opts.comment:
         body = body.filter(~F.col("value").startswith(opts.comment))
     raw = body.select(F.from_csv("value", ddl, {"sep": opts.separator, "quote": opts.quote, "escape": opts.quote}).alias("r")).select("r.*")
-    if opts.header:
+    if names is not None:
+        given = spark.createDataFrame([(names,)], "value string").select(F.from_csv("value", ddl, {"sep": opts.separator, "quote": opts.quote}).alias("r")).select("r.*").first()
+        raw = raw.toDF(*[v.strip() for v in given])
+    elif opts.header:
         names = [v.strip() for v in body.limit(1).select(F.from_csv("value", ddl, {"sep": opts.separator, "quote": opts.quote}).alias("r")).select("r.*").first()]
         raw = raw.withColumn("_n", F.monotonically_increasing_id())
         low = raw.agg(F.min("_n")).first()[0]
