@@ -7,12 +7,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.decontaminate import contaminated, decontaminate, match_items, remove_spans
-from tessera.llm.jaccard_join import divide_skip, drop_near_copies, jaccard_components, needed
+from tessera.llm.jaccard_join import _several, divide_skip, drop_near_copies, jaccard_components, needed
 from tessera.llm.mixing import _joint, balance, mix_documents, mix_plan
 from tessera.llm.quality_rules import filter_documents, score_documents
 from tessera.llm.substring_dedup import Repeats, remove_repeats
@@ -292,3 +293,39 @@ def test_decontaminate_drops_documents_and_cuts_long_spans(spark, shard):
     found = {r["doc_id"]: r["clean"] for r in match_items(table(spark, rows), bench, cut=50, shard_words=shard).collect()}
     assert found[1] == got[1] and found[3] is None and found[4] is None
     assert decontaminate(table(spark, rows), bench).columns == table(spark, rows).columns
+
+
+def test_lists_of_several_classes_whatever_the_batches():
+    rng = random.Random(31)
+    for _ in range(200):
+        rows = sorted((rng.randrange(12), rng.randrange(6)) for _ in range(rng.randrange(1, 60)))
+        several = collections.defaultdict(set)
+        for t, c in rows:
+            several[t].add(c)
+        want = sorted({(t, c) for t, c in rows if len(several[t]) > 1})
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.choice([0, 1, 2, 3, 30])
+            part = rows[at : at + n]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.int64()), pa.array([c for _, c in part], pa.int64())], names=["tok", "cid"]))
+            at += n
+        got = [(t, c) for b in _several(iter(batches)) for t, c in zip(*(x.to_pylist() for x in b.columns))]
+        assert sorted(got) == want
+
+
+def test_every_link_comes_from_the_lists(spark, rows, monkeypatch):
+    """Without the search nothing links but equal sets."""
+    import tessera.llm.jaccard_join as module
+
+    def nothing(k, percent):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).slice(0, 0)
+
+        return run
+
+    linked = jaccard_components(table(spark, rows)).collect()
+    monkeypatch.setattr(module, "_search", nothing)
+    alone = jaccard_components(table(spark, rows)).collect()
+    assert len({r["group_id"] for r in alone}) > len({r["group_id"] for r in linked})
+    assert all(r["group_id"] == r["class_id"] for r in alone)
