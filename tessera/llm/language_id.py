@@ -4,9 +4,10 @@ Per language, a context tree over byte symbols up to order ORDER with counts fro
 The probability of a symbol after a context is PPM's (escape method C): seen symbols of the longest
 context known to the language share its counts, an escape goes to the next shorter context, and so on
 down to a uniform law. Statistics are frozen after training, so the code length of every (context,
-symbol) is a constant. All languages' trees are compiled into one table: a state per context kept in any
-tree, the transition by the last ORDER symbols, and per state, symbol and language the exact code
-length in nats. Scoring a text adds up table rows.
+symbol) is a constant. All languages' trees share one set of states: a state per context kept in any
+tree, found by the last ORDER symbols. Each language has the exact code lengths in nats of its own contexts
+and symbols, and for every state the row of its longest suffix among them, so that tables grow with the languages and
+not with their square. Scoring a text adds up code lengths.
 """
 
 from __future__ import annotations
@@ -120,10 +121,8 @@ class Model:
         # States: per depth, all contexts of any language; the root is state 0.
         self.contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([np.zeros(0, np.int64), *[t[d][0] for t in trees]])) for d in range(1, order + 1)]
         base = np.cumsum([0] + [len(c) for c in self.contexts])
-        cost = np.empty((base[-1], n_sym, len(self.langs)), np.float32)
-        for k, tree in enumerate(trees):
-            self._fill(cost[:, :, k], tree, base)
-        self.cost = cost.reshape(base[-1] * n_sym, len(self.langs))
+        #: Per language: code lengths of its own contexts (row by symbol), and per state the row of its longest suffix among these.
+        self.compiled = [self._compile(tree) for tree in trees]
         # Transition: the state of the longest suffix of the last symbols, dense in all of them but the oldest.
         self.goto = np.zeros(n_sym**order, np.int32) if order else np.zeros(1, np.int32)
         for d in range(1, order + 1):
@@ -150,28 +149,32 @@ class Model:
             tree.append((u, np.append(starts, len(key_u)), key_u % n_sym, c_u.astype(np.float64)))
         return tree
 
-    def _fill(self, cost, tree, base):
-        """Code lengths of every state for one language, shortest contexts first: a context unknown to it copies its suffix's."""
+    def _compile(self, tree):
+        """(code lengths by own context and symbol, row of each state), shortest contexts first: a context unknown to the language has its suffix's row."""
         n_sym = self.n_sym
-        uniform = np.full(n_sym, np.log(n_sym))
-        for d in range(self.order + 1):
-            u, starts, sym, c = tree[d]
-            own = {int(x): i for i, x in enumerate(u.tolist())}
-            for j, ctx in enumerate(self.contexts[d].tolist()):
-                if d == 0:
-                    below = uniform
-                else:
-                    short = ctx % n_sym ** (d - 1)
-                    below = cost[base[d - 1] + (int(np.searchsorted(self.contexts[d - 1], short)) if d > 1 else 0)]
-                row = cost[base[d] + j]
-                i = own.get(ctx)
-                if i is None:
-                    row[:] = below
-                    continue
-                a, z = starts[i], starts[i + 1]
-                total, kinds = c[a:z].sum(), z - a
-                row[:] = below + np.log((total + kinds) / kinds)
-                row[sym[a:z]] = np.log((total + kinds) / c[a:z])
+        rows = np.full((1, n_sym), np.log(n_sym))
+        places = []
+        for d, (u, starts, sym, c) in enumerate(tree):
+            ctx = self.contexts[d]
+            if d == 0:
+                place = np.zeros(1, np.int32)
+            else:
+                place = places[-1][np.searchsorted(self.contexts[d - 1], ctx % n_sym ** (d - 1))].copy()
+            if len(u):
+                at = np.searchsorted(ctx, u)
+                total, kinds = np.add.reduceat(c, starts[:-1]), np.diff(starts)
+                new = rows[place[at]] + np.log((total + kinds) / kinds)[:, None]
+                row = np.repeat(np.arange(len(u)), kinds)
+                new[row, sym] = np.log((total + kinds)[row] / c)
+                place[at] = len(rows) + np.arange(len(u), dtype=np.int32)
+                rows = np.concatenate([rows, new])
+            places.append(place)
+        return rows.astype(np.float32).ravel(), np.concatenate(places)
+
+    @property
+    def cost(self) -> np.ndarray:
+        """The code length of every (state, symbol) by language, in one table."""
+        return np.stack([rows.reshape(-1, self.n_sym)[place].ravel() for rows, place in self.compiled], axis=1)
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in nats of each text under each language (rows by text)."""
@@ -182,10 +185,10 @@ class Model:
         code = before[-1]
         for p in before[-2::-1]:
             code = code * self.n_sym + p
-        at = self.goto[code].astype(np.int64) * self.n_sym + s
+        state = self.goto[code]
         full = off[:-1] < off[1:]
-        for k in range(len(self.langs)):
-            out[full, k] = np.add.reduceat(self.cost[at, k], off[:-1][full], dtype=np.float64)
+        for k, (rows, place) in enumerate(self.compiled):
+            out[full, k] = np.add.reduceat(rows[place[state].astype(np.int64) * self.n_sym + s], off[:-1][full], dtype=np.float64)
         return out
 
 
