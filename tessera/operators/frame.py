@@ -182,6 +182,10 @@ class Frame:
     def _sorted(self, descending: bool = False) -> list[Column]:
         return [S.sort_key(F.col(f"`{c}`"), descending) for c in self._order]
 
+    def _carried(self) -> list[str]:
+        """Hidden columns besides the number."""
+        return [c for c in self._df.columns if c != _ROW and c not in self.columns]
+
     def _keys(self) -> list[tuple[Column, bool, bool]]:
         """The order as (column, descending, nulls last)."""
         return [(F.col(f"`{c}`"), False, True) for c in self._order]
@@ -291,7 +295,7 @@ class Frame:
         exprs = [k if isinstance(k, Expr) else col(k) for k in keys]
         down = descending if isinstance(descending, list) else [descending] * len(exprs)
         by = [(e.lower(scope), d if e.descending is None else e.descending, nulls_last) for e, d in zip(exprs, down)]
-        return _Sorted(self._df, [*by, *self._keys()])
+        return _Sorted(self._prepared(scope), [*by, *self._keys()], [*self._carried(), *scope.temps])
 
     def head(self, n: int = 5) -> Frame:
         return self._with(self._df.orderBy(*self._sorted()).limit(max(n, 0)))
@@ -329,7 +333,7 @@ class Frame:
         return self._with(self._df.withColumn("__n", n).filter("__n = 1").drop("__n"))
 
     def reverse(self) -> Frame:
-        return _Sorted(self._df, [(c, not d, n) for c, d, n in self._keys()])
+        return _Sorted(self._df, [(c, not d, n) for c, d, n in self._keys()], self._carried())
 
     def drop_nulls(self, *columns: str) -> Frame:
         return self._with(self._df.na.drop(subset=list(columns) or self.columns))

@@ -49,6 +49,13 @@ def test_numbers_are_consecutive_in_any_order(f, rows, keys):
     assert got == [(n, r[0]) for n, r in enumerate(want)]
 
 
+def test_hidden_order_stays_hidden(f, rows):
+    assert f.select("x").sort("x").df.columns == ["x"] and f.select("x").reverse().df.columns == ["x"]
+    last_first = f.select("x").reverse().with_row_number().df.collect()
+    assert [r["row_nr"] for r in last_first] == list(range(500))
+    assert [repr(r["x"]) for r in last_first] == [repr(None if x is None else float(x)) for _, x, _ in rows[::-1]]
+
+
 def test_no_rows_to_number(spark):
     none = Frame(spark.createDataFrame([], "id int, x double"), "id")
     assert none.with_row_number().df.count() == 0 and none.sort("x").with_row_number().df.count() == 0
