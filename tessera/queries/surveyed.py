@@ -8,7 +8,7 @@ import functools
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.functions import strings
+from tessera.functions import nested, strings
 from tessera.operators import expr as E
 from tessera.operators.expr import col, lit, when
 from tessera.operators.frame import Frame
@@ -213,6 +213,73 @@ def sql_comma_join(spark, d):
     return context.sql("SELECT n_name, r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
 
 
+@query("exports", "SELECT n_nationkey, n_name FROM nation")
+def exports(spark, d):
+    """Out as an Arrow table and in again, out as lists and in again; the plan reads the file."""
+    f = frame(spark, d, "nation", "n_nationkey").select("n_nationkey", "n_name")
+    if "Scan" not in f.explain():
+        raise ValueError("the plan does not read the file")
+    columns = Frame.from_arrow(spark, f.to_arrow()).to_dict()
+    return Frame.from_dict(spark, columns, "n_nationkey int, n_name string").df
+
+
+@query("scalar_access", "SELECT n_name AS v, (SELECT count(*) FROM nation) AS height, 4 AS width FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 7")
+def scalar_access(spark, d):
+    f = frame(spark, d, "nation", "n_nationkey").with_columns(one=lit(1))
+    return spark.createDataFrame([(f.value(7, "n_name"), *f.shape())], "v string, height bigint, width int")
+
+
+@query("map_pandas", "SELECT s_suppkey, s_acctbal * 2 AS twice FROM supplier")
+def map_pandas(spark, d):
+    def doubled(batches):
+        for pdf in batches:
+            yield pdf.assign(twice=pdf["s_acctbal"] * 2)[["s_suppkey", "twice"]]
+
+    return frame(spark, d, "supplier").map_pandas(doubled, "s_suppkey bigint, twice double")
+
+
+@query("group_apply", "SELECT c_mktsegment, max(c_acctbal) AS hi, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def group_apply(spark, d):
+    import pandas as pd
+
+    def top(pdf):
+        return pd.DataFrame({"c_mktsegment": [pdf["c_mktsegment"].iloc[0]], "hi": [pdf["c_acctbal"].max()], "n": [len(pdf)]})
+
+    return frame(spark, d, "customer").group_by("c_mktsegment").apply(top, "c_mktsegment string, hi double, n bigint")
+
+
+@query("struct_fields", "SELECT 'a' AS name, 0 AS i UNION ALL SELECT 'b', 1")
+def struct_fields(spark, d):
+    f = Frame.from_dict(spark, {"x": [1], "y": ["z"]}, "x int, y string").with_columns(s=E.struct(a=col("x"), b=col("y")))
+    return spark.createDataFrame([(n, i) for i, n in enumerate(nested.field_names(f.df, "s"))], "name string, i int")
+
+
+@query("utc_times", "SELECT event_id, ts AS u FROM events")
+def utc_times(spark, d):
+    return frame(spark, d, "events", "event_id").select("event_id", col("ts").dt.to_utc().alias("u")).df
+
+
+@query("more_math", "SELECT o_orderkey, ROUND(log10(o_totalprice), 9) AS a, ROUND(tan(x), 9) AS b, ROUND(asin(x), 9) AS c, ROUND(cosh(x), 9) AS e, ROUND(tanh(x), 9) AS f FROM (SELECT o_orderkey, o_totalprice, (o_orderkey % 100) / 100.0 AS x FROM orders)")
+def more_math(spark, d):
+    x = (col("o_orderkey") % 100) / lit(100.0)
+    f = frame(spark, d, "orders", "o_orderkey")
+    out = f.select("o_orderkey", col("o_totalprice").math("log10").alias("a"), x.math("tan").alias("b"), x.math("asin").alias("c"), x.math("cosh").alias("e"), x.math("tanh").alias("f"))
+    return out.df.select("o_orderkey", *[F.round(c, 9).alias(c) for c in "abcef"])
+
+
+@query("columns_by_name", "SELECT p_name, p_partkey, p_size AS literal_size, 'x' AS repeated FROM part")
+def columns_by_name(spark, d):
+    f = frame(spark, d, "part", "p_partkey")[["p_name", "p_partkey", "p_size"]]
+    r = Frame.repeat(spark, "repeated", "x", f.shape()[0])
+    return f.select(*E.cols("p_name", "p_partkey"), col("p_size").as_("literal_size")).hconcat(r).df
+
+
+@query("transpose_table", "SELECT 'r_regionkey' AS key, 0 AS AFRICA, 1 AS AMERICA, 2 AS ASIA, 3 AS EUROPE, 4 AS \"MIDDLE EAST\"")
+def transpose_table(spark, d):
+    """Column names come from the data, which must be few; the key column as Spark names it."""
+    return frame(spark, d, "region").select("r_name", "r_regionkey").transpose("r_name")
+
+
 @query("csv_skip_rows", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def csv_skip_rows(spark, d):
     """A folder of two files, each with two lines that do not count and a header of its own."""
