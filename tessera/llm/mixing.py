@@ -27,7 +27,7 @@ NEWTON_STEPS = 60
 #: Documented bound: categories with a target, of all margins, whose dual is solved jointly.
 CATEGORIES = 4096
 #: Sizes that one first-level prefix sum covers.
-SIZES = 256
+SIZES = 32
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
