@@ -163,7 +163,7 @@ class Repeats:
         length, now, out, turn = self.window, self.level, None, 0
         found = self.found
         while found.rows and (max_levels is None or turn <= max_levels):
-            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.small(), "win")
+            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.df, "win")
             alive = stash(each.distinct().groupBy("doc_id", "seq").agg(F.collect_list(F.struct("pos", "win")).alias("z")).select("doc_id", "seq", F.col("z.pos").alias("pos"), F.col("z.win").alias("win")), "alive")
             reach = stash(alive.df.select("doc_id", "seq", F.lit(length).alias("longest")), "reach").df
             out = reach if out is None else out.unionByName(reach)
@@ -251,7 +251,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
     """
     found = Repeats(df, window, doc_id, text)
     gone = found.removals()
-    rows = found.docs.join(gone.small(), "doc_id", "left").select("doc_id", "text", "verdicts")
+    # Both sides grow with the input: shuffled at every size.
+    rows = found.docs.join(gone.df, "doc_id", "left").select("doc_id", "text", "verdicts")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "") + (", seq long" if with_longest else "")
     kept = stash(rows.mapInArrow(_apply(window, with_text, with_longest), out), "kept").df
     if not with_longest:
