@@ -109,7 +109,7 @@ def constructors(spark, d):
     return whole.vconcat(Frame.empty(spark, "i int, a int, b string, c double")).df
 
 
-@query("list_series", "SELECT * FROM (VALUES (1, 3.0), (2, 9.0), (3, NULL)) t(i, s)")
+@query("list_series", "SELECT i, CAST(s AS DOUBLE) AS s FROM (VALUES (1, 3.0), (2, 9.0), (3, NULL)) t(i, s)")
 def list_series(spark, d):
     f = Frame.series(spark, "x", [[1.0, 2.0], [4.0, 5.0], None], "array<double>").with_row_number("i")
     return f._with(f._df.withColumn("s", F.aggregate("x", F.lit(0.0), lambda t, v: t + v)).withColumn("i", F.col("i") + 1)).select("i", "s").df
@@ -125,13 +125,13 @@ def mask_and_column(spark, d):
 
 @query("ewm_parameters", """WITH RECURSIVE t AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id FROM events),
 r AS (SELECT user_id, i, event_id, value AS a, value AS b, value AS c FROM t WHERE i = 1
-      UNION ALL SELECT t.user_id, t.i, t.event_id, 0.25 * t.value + 0.75 * r.a, (1 - pow(0.5, 1 / 3.0)) * t.value + pow(0.5, 1 / 3.0) * r.b, 0.2 * t.value + 0.8 * r.c FROM r JOIN t ON t.user_id = r.user_id AND t.i = r.i + 1)
+      UNION ALL SELECT t.user_id, t.i, t.event_id, 2 / 9.0 * t.value + 7 / 9.0 * r.a, (1 - pow(0.5, 1 / 3.0)) * t.value + pow(0.5, 1 / 3.0) * r.b, 0.2 * t.value + 0.8 * r.c FROM r JOIN t ON t.user_id = r.user_id AND t.i = r.i + 1)
 SELECT event_id, ROUND(a, 6) AS a, ROUND(b, 6) AS b, ROUND(c, 6) AS c FROM r""")
 def ewm_parameters(spark, d):
-    """span 7, halflife 3 and com 4 are alphas of 1/4, 1 - 2**(-1/3) and 1/5."""
+    """span 8, halflife 3 and com 4 are alphas of 2/9, 1 - 2**(-1/3) and 1/5."""
     v = col("value")
     f = Frame(table(spark, d, "events"), ["ts", "event_id"])
-    out = f.select("event_id", v.ewm_mean(span=7, adjust=False).over("user_id").alias("a"), v.ewm_mean(halflife=3, adjust=False).over("user_id").alias("b"), v.ewm_mean(com=4, adjust=False).over("user_id").alias("c"))
+    out = f.select("event_id", v.ewm_mean(span=8, adjust=False).over("user_id").alias("a"), v.ewm_mean(halflife=3, adjust=False).over("user_id").alias("b"), v.ewm_mean(com=4, adjust=False).over("user_id").alias("c"))
     return out.df.select("event_id", *[F.round(x, 6).alias(x) for x in "abc"])
 
 
