@@ -82,3 +82,25 @@ def test_query_digests(spark, tmp_path):
     assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_phone"]) == (1, 1, 0, 0)
     assert got[1]["spans"] == "email:0:7,ip:8:15" and got[1]["base_sha256"] == hashlib.sha256(b"email:0:7,ip:8:15").hexdigest()
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_secrets_of_documents_that_no_generator_here_made():
+    """Every quoted token in the test documents is found, and nothing else is called a secret."""
+    import os
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    texts = pa.concat_arrays(pq.read_table(path, columns=["text"]).column("text").chunks).cast(pa.string())
+    secret = re.compile(r'token = "([0-9a-f]{40})"')
+    planted = found = 0
+    for t, (_, every) in zip(texts.to_pylist(), FINDER(texts), strict=True):
+        wanted = [m.span(1) for m in secret.finditer(t or "")]
+        got = [(s, e) for k, s, e in every if k == "secret"]
+        planted += len(wanted)
+        found += sum(any(s < z and a < e for s, e in got) for a, z in wanted)
+        assert len(got) == len(wanted)
+    assert planted > 5 and found == planted
