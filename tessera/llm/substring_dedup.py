@@ -115,10 +115,24 @@ def _double(length: int):
 _LEVEL = "doc_id long, seq long, pos array<int>, win array<bigint>"
 
 
+#: A window that more than one in so many starts of repeated windows is of meets its starts by a broadcast: there are fewer than so many such windows.
+HOT = 256
+
+
 def _repeats(level: DataFrame) -> Table:
-    """(win, lo): windows that start in two documents or more, with the smallest doc_id."""
+    """(win, lo, n): windows that start in two documents or more, with the smallest doc_id and the number of starts."""
     w = level.select("doc_id", F.explode("win").alias("win"))
-    return stash(w.groupBy("win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("win", "lo"), "repeats")
+    return stash(w.groupBy("win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("win", "lo", "n"), "repeats")
+
+
+def _starts(level: DataFrame, found: Table) -> DataFrame:
+    """(doc_id, seq, pos, win, lo): each start of a found window. A passage that a third of all documents hold meets in no single task."""
+    each = level.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win")
+    edge = (found.df.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = found.df.filter(F.col("n") > edge).select("win", F.col("lo").alias("hot"))
+    marked = each.join(F.broadcast(hot), "win", "left")
+    rest = marked.filter("hot is null").drop("hot").join(found.df.filter(F.col("n") <= edge).select("win", "lo"), "win")
+    return marked.filter("hot is not null").withColumnRenamed("hot", "lo").unionByName(rest)
 
 
 class Repeats:
@@ -148,8 +162,7 @@ class Repeats:
 
     def repeated(self) -> DataFrame:
         """(doc_id, seq, pos, win, lo): each start of a repeated window."""
-        each = self.level.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win")
-        return each.join(self.found.df, "win")
+        return _starts(self.level.df, self.found)
 
     def removals(self) -> Table:
         """(doc_id, verdicts): per doc_id with something to remove, its texts (seq) and window starts to remove (null: all)."""
@@ -163,7 +176,7 @@ class Repeats:
         length, now, out, turn = self.window, self.level, None, 0
         found = self.found
         while found.rows and (max_levels is None or turn <= max_levels):
-            each = now.df.select("doc_id", "seq", F.explode(F.arrays_zip("pos", "win")).alias("z")).select("doc_id", "seq", "z.pos", "z.win").join(found.df, "win")
+            each = _starts(now.df, found)
             alive = stash(each.distinct().groupBy("doc_id", "seq").agg(F.collect_list(F.struct("pos", "win")).alias("z")).select("doc_id", "seq", F.col("z.pos").alias("pos"), F.col("z.win").alias("win")), "alive")
             reach = stash(alive.df.select("doc_id", "seq", F.lit(length).alias("longest")), "reach").df
             out = reach if out is None else out.unionByName(reach)
