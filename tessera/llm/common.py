@@ -126,9 +126,11 @@ class Shipped:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
+    """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced. Spark holds the last execution
+    until the next one ends, which here is one without tasks."""
     import gc
 
+    spark.sql("SELECT 1").collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
