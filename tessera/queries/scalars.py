@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import clock, nested, strings
 from tessera.operators import expr as E
 from tessera.operators.expr import col, lit, when
-from tessera.queries.base import frame, query
+from tessera.queries.base import frame, query, rounded
 
 name, cid = col("c_name"), col("c_custkey")
 
@@ -181,7 +181,7 @@ def maths(spark, d):
 def math_guarded(spark, d):
     x = col("x")
     f = maths(spark, d).select("o_orderkey", x.math("log").alias("l"), x.math("sqrt").alias("r"), x.math("sign").alias("s"), x.abs().alias("a"), x.math("clip", -1000, 1000).alias("c"), (x / x).alias("self"))
-    return f.df.withColumns({"l": F.round("l", 9), "r": F.round("r", 9)})
+    return f.df.withColumns({"l": rounded(F.col("l"), 9), "r": rounded(F.col("r"), 9)})
 
 
 @query("math_trig", "SELECT o_orderkey, ROUND(sin(t), 9) AS a, ROUND(cos(t), 9) AS b, ROUND(atan(t), 9) AS c, ROUND(sinh(t), 9) AS e, ROUND(exp(t), 9) AS f, ROUND(acos(t), 9) AS g FROM (SELECT o_orderkey, o_orderkey % 100 / 100.0 AS t FROM orders)")
